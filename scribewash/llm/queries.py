@@ -11,6 +11,7 @@ from .chat_format import chat_digest, format_chats
 from .common import table
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
+from .suffix_dedup import suffix_dedup
 
 SELF_TEST = "</s>[INST] ok [/INST]"
 
@@ -24,6 +25,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -36,7 +42,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash_near_dedup, op7_quality_rules, op9_chat_formatting)}
+    return {f.__name__: f for f in (op6_simhash_near_dedup, op7_quality_rules, op8_suffix_array_dedup, op9_chat_formatting)}
 
 
 OP9_SQL = r"""
