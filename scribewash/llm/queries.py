@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 
 from .chat_format import chat_digest, format_chats
 from .common import table
+from .decontaminate import decontaminate
 from .quality_rules import quality_rules
+from .sentencepiece_viterbi import encode_digest
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
 
 SELF_TEST = "</s>[INST] ok [/INST]"
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -42,7 +52,15 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash_near_dedup, op7_quality_rules, op8_suffix_array_dedup, op9_chat_formatting)}
+    found = (
+        op1_template_decontamination,
+        op3_sentencepiece_viterbi,
+        op6_simhash_near_dedup,
+        op7_quality_rules,
+        op8_suffix_array_dedup,
+        op9_chat_formatting,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP9_SQL = r"""
@@ -67,8 +85,5 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BI
   sha256(learnt) AS loss_sha256, formatted_chars FROM joined
 """
 
-OP7_NONE = None  # the method's verdict is an iterative estimate: tests/llm compares the counts with brute force
-
-
 def oracle_sql() -> dict[str, str]:
     return {"op9_chat_formatting": OP9_SQL}
