@@ -76,3 +76,36 @@ def labelled_sample(rows: DataFrame, label: str, text: str, per_label: int) -> l
     for r in chosen.select("y", F.col("t").cast("binary").alias("t"), F.xxhash64("t").alias("h")).toLocalIterator():
         by.setdefault(r.y, []).append((r.h, r.y, bytes(r.t)))
     return [(y, t) for rows_ in (sorted(v)[: 2 * per_label] for _, v in sorted(by.items())) for _, y, t in rows_]
+
+
+def sample_by_labels(
+    docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_label: int
+) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
+    """As ``labelled_sample``, with 0/1 labels in a table of their own: (sample, rows of each label).
+
+    Only ids and hashes of texts meet the labels; the texts of the chosen rows (a bounded number) are
+    then fetched by a second scan. The larger of two labels of one id counts.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id"))
+    known = known.agg(F.max(label).cast("int").alias("_y"))
+    counts = {r[0]: r[1] for r in known.groupBy("_y").agg(F.count(F.lit(1))).collect()}
+    if not counts:
+        return [], {}
+    keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h"))
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col("_y") == value, F.lit(min(1.0, 1.25 * per_label / n))).otherwise(share)
+    point = F.pmod(F.col("_h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # What no label's share lets in need not meet the labels.
+    most = max(min(1.0, 1.25 * per_label / n) for n in counts.values())
+    chosen = keyed.where(point < most).join(known, "_id").where(point < share).groupBy("_h").agg(F.min("_y").alias("_y"), F.min("_id").alias("_id"))
+    by: dict[int, list[tuple[int, int, int]]] = {}
+    for r in chosen.toLocalIterator():
+        by.setdefault(r._y, []).append((r._h, r._id, r._y))
+    picked = [x for v in by.values() for x in sorted(v)[: 2 * per_label]]
+    if not picked:
+        return [], counts
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted({i for _, i, _ in picked})], "_id long")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_t"), F.xxhash64(text).alias("_h"))
+    got = {r._h: bytes(r._t) for r in texts.join(F.broadcast(ids), "_id").toLocalIterator() if r._t is not None}
+    return [(y, got[h]) for h, _, y in sorted(picked) if h in got], counts

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from .chat_format import chat_digest, format_chats
 from .common import table
 from .decontaminate import decontaminate
+from .language_id import language_id
+from .quality_mil import quality_mil
 from .quality_rules import quality_rules
 from .sentencepiece_viterbi import encode_digest
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
+from .toxicity import toxicity
 
 SELF_TEST = "</s>[INST] ok [/INST]"
 
@@ -22,10 +25,18 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -51,14 +62,21 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(turns.unionByName(probe)))
 
 
+def op10_language_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_template_decontamination,
+        op2_toxicity_weak_supervision,
         op3_sentencepiece_viterbi,
+        op4_quality_attention_mil,
         op6_simhash_near_dedup,
         op7_quality_rules,
         op8_suffix_array_dedup,
         op9_chat_formatting,
+        op10_language_string_kernels,
     )
     return {f.__name__: f for f in found}
 
