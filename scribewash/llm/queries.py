@@ -11,6 +11,7 @@ from .chat_format import chat_digest, format_chats
 from .common import table
 from .decontaminate import decontaminate
 from .language_id import language_id
+from .license_scan import license_scan
 from .quality_mil import quality_mil
 from .quality_rules import quality_rules
 from .sentencepiece_viterbi import encode_digest
@@ -37,6 +38,10 @@ def op4_quality_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_toxicity_weak_supervision,
         op3_sentencepiece_viterbi,
         op4_quality_attention_mil,
+        op5_license_scan,
         op6_simhash_near_dedup,
         op7_quality_rules,
         op8_suffix_array_dedup,
