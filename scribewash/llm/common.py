@@ -44,6 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids that are broadcast at most: 16 bytes each in the hash table of longs.
+MAX_BROADCAST_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows of ``ids`` (one column); null ids stay.
+
+    A counted, small set is broadcast, so that no text is shuffled; a larger one is joined by a shuffle.
+    """
+    ids = materialise(ids.select(F.col(ids.columns[0]).alias(doc_id)).distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids.hint("merge")
+    return docs.join(side, doc_id, "left_anti").select(*docs.columns)
+
+
 def utf8(col: str | Column) -> Column:
     """A text column as UTF-8 bytes; null as no bytes."""
     c = F.col(col) if isinstance(col, str) else col
