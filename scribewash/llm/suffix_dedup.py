@@ -45,6 +45,8 @@ GRAM = 20
 BLOCK_BYTES, PIECE, BUCKET_BYTES = 4 << 20, 1 << 20, 8 << 20
 #: Windows in a segment at most; documents (counted by block) from which an anchor is hot.
 MAX_RUN, HOT = 64, 2000
+#: Bytes of segments whose suffixes are sorted at once: bounds the sort's memory.
+SORT_BYTES = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -54,6 +56,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """A permutation of 48-bit numbers: least hashes are small, their buckets must be even."""
+    h = h ^ (h >> np.uint64(21))
+    return (h * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << 48) - 1)
+
+
 def gram_hashes(body: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k bytes, by doubling: hash(2m) = hash(m) * p**m + hash(m, m further on)."""
     h, m, parts, at = _mix(body.astype(np.uint64) + np.uint64(77)), 1, [], 0
@@ -113,7 +121,7 @@ def anchor_runs(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
             nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             size = np.minimum(size[of] - nth * MAX_RUN, MAX_RUN)
             first = first[of] + nth * MAX_RUN
-        anchors.append(least[first]), begins.append(first + a), sizes.append(size)
+        anchors.append(_spread(least[first])), begins.append(first + a), sizes.append(size)
     if not anchors:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(anchors), np.concatenate(begins), np.concatenate(sizes)
@@ -148,7 +156,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sample = np.concatenate([i1, i2])
     if int(s.max()) < 1 << 21:
         key = (t[sample] << 42) | (t[sample + 1] << 21) | t[np.minimum(sample + 2, n + 2)]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_ = key[order]
         new = np.ones(len(order), bool)
         new[1:] = sorted_[1:] != sorted_[:-1]
@@ -166,7 +174,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     by_rank = sample[order]
     by_rank = by_rank[by_rank < n]
     i0 = np.arange(0, n, 3)
-    i0 = i0[np.argsort((t[i0] << 32) | rank[i0 + 1], kind="stable")]
+    i0 = i0[np.argsort((t[i0] << 32) | rank[i0 + 1])]
     one, two = by_rank[by_rank % 3 == 1], by_rank[by_rank % 3 == 2]
     before_one = np.searchsorted((t[one] << 32) | rank[one + 1], (t[i0] << 32) | rank[i0 + 1])
     # Two characters and a rank do not fit one integer: the pairs of characters get names of their own.
@@ -209,6 +217,42 @@ def least_ids(segments: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     return [of[a : a + n - MIN_LEN + 1] for a, n in zip(begin.tolist(), lens.tolist())]
 
 
+def least_ids_in_parts(segments: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
+    """``least_ids``, sorted in parts of about SORT_BYTES.
+
+    Equal windows have one anchor, so segments of different anchors need not meet, and a segment that is
+    the only one of its anchor has no window in another segment.
+    """
+    if not segments:
+        return []
+    anchor = np.empty(len(segments), np.uint64)
+    step = 1 << 14
+    for a in range(0, len(segments), step):
+        first = np.frombuffer(b"".join([x[:MIN_LEN] for x in segments[a : a + step]]), np.uint8)
+        h = gram_hashes(first, GRAM) >> np.uint64(16)
+        h = np.append(h, np.zeros(GRAM - 1, np.uint64)).reshape(-1, MIN_LEN)[:, : MIN_LEN - GRAM + 1]
+        anchor[a : a + step] = h.min(axis=1)
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segments)
+    order = np.argsort(anchor, kind="stable")
+    sorted_ = anchor[order]
+    head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    many = np.diff(np.append(head, len(order))) > 1
+    for i in order[head[~many]].tolist():
+        out[i] = np.full(len(segments[i]) - MIN_LEN + 1, ids[i])
+    held: list[int] = []
+    size = 0
+    ends = np.append(head[1:], len(order))
+    last = ends[many][-1] if many.any() else 0
+    for a, b in zip(head[many].tolist(), ends[many].tolist()):
+        held += order[a:b].tolist()
+        size += sum(len(segments[i]) for i in order[a:b].tolist())
+        if size >= SORT_BYTES or b == last:
+            for i, least in zip(held, least_ids([segments[i] for i in held], ids[held])):
+                out[i] = least
+            held, size = [], 0
+    return out
+
+
 def _blocks(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), utf8(text).alias("_body"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"))
 
@@ -383,7 +427,7 @@ def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     ids = np.full(len(index), NO_ID, np.int64)
     for of, some in zip(wanted, least):
         np.minimum.at(ids, np.array(of), some)
-    found = least_ids(list(index), ids)
+    found = least_ids_in_parts(list(index), ids)
     reply = [_press(np.concatenate([found[i] for i in of]).astype("<i8").tobytes()) for of in wanted]
     return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "least": reply})
 
