@@ -448,7 +448,7 @@ def _spans(row: dict, n_buckets: int, told: dict[int, bytes]) -> np.ndarray:
     return np.cumsum(cover[:-1]) > 0
 
 
-def _cut(n_buckets: int, names: list[str], schema: pa.Schema):
+def _cut(n_buckets: int, names: list[str], schema: pa.Schema, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -466,14 +466,18 @@ def _cut(n_buckets: int, names: list[str], schema: pa.Schema):
                 cols = pa.ipc.open_stream(_unpress(row["keep"])).read_all().column("_keep").combine_chunks()
                 cols = cols.chunk(0) if isinstance(cols, pa.ChunkedArray) else cols
                 arrays = [cols.field(i) for i in range(len(names))]
-                arrays += [pa.array(np.diff([0, *ends]), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
+                arrays += [pa.array(np.diff([0, *ends]), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())]
+                arrays.append(pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()))
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, schema)], schema=schema)
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (the id alone by default) and n_bytes, n_removed, n_spans, kept (bytes)."""
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """The columns ``keep`` (the id alone by default) and n_bytes, n_removed, n_spans, kept.
+
+    ``kept`` holds the remaining bytes; with ``as_text`` a string, without the rests of characters that a cut went through.
+    """
     keep = keep or [doc_id]
     spark = docs.sparkSession
     blocks = materialise(_blocks(docs, doc_id, text, keep), "blocks")
@@ -491,6 +495,6 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     release_shuffles(spark)
 
     answer = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "least")).alias("least"))
-    fields = [docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
+    fields = [docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     schema = T.StructType(fields)
-    return marked.join(answer, "block", "left").mapInArrow(_cut(n_sorts, keep, to_arrow_schema(schema)), schema)
+    return marked.join(answer, "block", "left").mapInArrow(_cut(n_sorts, keep, to_arrow_schema(schema), as_text), schema)
