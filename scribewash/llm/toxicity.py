@@ -31,6 +31,8 @@ PER_LABEL = 1500
 MAX_STEMS, MAX_FEATURES = 48, 4096
 STEM = (4, 5, 6, 7)
 THRESHOLD = 0.3
+#: Tokens that a task remembers.
+CACHE_TOKENS = 200_000
 #: Log odds from which a voter counts as accurate.
 MIN_ODDS = 1.5
 
@@ -197,7 +199,7 @@ class Model:
                 hit = cache.get(w)
                 if hit is None:
                     hit = tuple(s for s in _stems(w) if s in wanted)
-                    if len(cache) >= 400_000:
+                    if len(cache) >= CACHE_TOKENS:
                         cache.clear()
                     if len(w) <= 64:
                         cache[w] = hit
