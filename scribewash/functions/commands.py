@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Mapping
+from itertools import combinations
 from typing import Any
 
 from pyspark.sql import Column, SparkSession
@@ -99,8 +100,27 @@ def canonical_token(token: Column, profiles: Profiles) -> Column:
     return known.otherwise(token)
 
 
+def _token_pattern(profiles: Profiles) -> str:
+    """Whole ASCII words that may change: next to a CJK character, or possibly a spelling of a command.
+
+    A word within two edits of a command keeps all but two of its letters in order: words without such a
+    rest are left out here, the distance decides about the others.
+    """
+    any_ = "[A-Za-z]*"
+    known = {w for k, v in profiles.items() for w in (k, *v["forms"]) if re.fullmatch("[A-Za-z]+", w)} | {"clear"}
+    rests: set[tuple[str, ...]] = set()
+    for canon, profile in profiles.items():
+        if profile["fuzzy"] and _is_ascii(canon) and " " not in canon:
+            rests |= set(combinations(canon, max(0, len(canon) - C.FUZZY_DISTANCE)))
+    least, most = C.FUZZY_LENGTHS
+    near = "|".join(any_.join(map(C.quote, r)) for r in sorted(rests))
+    fuzzy = f"(?=[A-Za-z]{{{least},{most}}}(?![A-Za-z])){any_}(?:{near}){any_}|" if rests else ""
+    return f"(?iu)(?<![A-Za-z])(?:(?<=[{C.CJK}])[A-Za-z]++|[A-Za-z]++(?=[{C.CJK}])|(?:{fuzzy}{C.alternation(sorted(known))})(?![A-Za-z]))"
+
+
 def ascii_tokens(c: Column, profiles: Profiles) -> Column:
-    return guarded(c, "[A-Za-z]", lambda v: sub_between(v, "[A-Za-z]+", lambda h, a, b: _padded(canonical_token(h, profiles), a, b)))
+    pattern = _token_pattern(profiles)
+    return guarded(c, pattern, lambda v: sub_between(v, pattern, lambda h, a, b: _padded(canonical_token(h, profiles), a, b)))
 
 
 def _alias_pattern(alias: str) -> str:

@@ -1,11 +1,345 @@
-"""Registered queries of the transcript operators, with the SQL that each is held against."""
+"""Registered queries of the transcript operators, with the SQL that each is held against.
+
+Chinese rules meet no Chinese text in the given tables: they run over stated cases (``goldens``). All
+others run over whole tables, against SQL that is formulated independently.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import commands, fillers, numerals, text_ops
+from ..functions import constants as C
+from ..operators import alias_join, deltas
+from ..sources import readers
+from . import goldens
+from .pipeline import CleanupOptions, finalize
+
+Query = Callable[[SparkSession, str], DataFrame]
+ECHO_PROMPT = "Than in of the and. It was that thing, erst with the heat of an eron"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
+
+
+def _decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with engine marks, keyed on the ids (DECORATED in SQL)."""
+    k = F.col("conv_id") % 4
+    mark = F.when(k == 0, "language English<asr_text>").when(k == 1, "  Language Chinese (x)<asr_text>").when(k == 2, "so language en<asr_text>").otherwise("")
+    noise = F.when(F.col("turn") % 2 == 0, "/sil").otherwise("")
+    t = F.col("turn") % 5
+    end = F.when(t == 0, "。").when(t == 1, "!?”").when(t == 2, "...)").when(t == 3, "\n.").otherwise(" a")
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.concat(mark, noise, "text", end).alias("raw"))
+
+
+DECORATED = """
+decorated AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn,
+  CASE conv_id % 4 WHEN 0 THEN 'language English<asr_text>' WHEN 1 THEN '  Language Chinese (x)<asr_text>'
+    WHEN 2 THEN 'so language en<asr_text>' ELSE '' END
+  || CASE WHEN turn % 2 = 0 THEN '/sil' ELSE '' END || text
+  || CASE turn % 5 WHEN 0 THEN '。' WHEN 1 THEN '!?”' WHEN 2 THEN '...)' WHEN 3 THEN chr(10) || '.' ELSE ' a' END AS raw
+  FROM conversations)"""
+
+
+def _over_turns(name: str, f: Callable[[Column], Column], out: str = "text") -> tuple[str, Query]:
+    return name, lambda s, d: _decorated(s, d).select("conv_id", "turn", f(F.col("raw")).alias(out))
+
+
+def _over_documents(name: str, f: Callable[[Column], Column]) -> tuple[str, Query]:
+    return name, lambda s, d: _table(s, d, "documents").select("doc_id", f(F.col("text")).alias("text"))
+
+
+def _cases(spark: SparkSession, cases: list[tuple[str, str | None]]) -> DataFrame:
+    return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "case_id long, raw string")
+
+
+def _golden(f: Callable[[Column], Column], cases: list, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, cases).select("case_id", f(F.col("raw")).alias("text"))
+
+
+def _golden_final(options: CleanupOptions, cases: list, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finalize(_cases(spark, cases), "raw", "text", options).select("case_id", "text")
+
+
+def _rewrites() -> dict[str, Callable[[Column], Column]]:
+    p = commands.load_profiles()
+    return {
+        "strong_stutter": fillers.strong_stutter,
+        "stutter": fillers.collapse_stutter,
+        "phrase_fillers": fillers.phrase_fillers,
+        "deictic_run": fillers.deictic_run,
+        "deictic_single": fillers.deictic_single,
+        "interjection_clusters": fillers.interjection_clusters,
+        "topic_tail": fillers.topic_tail,
+        "filter_fillers": fillers.filter_fillers,
+        "acronym_digits": numerals.acronym_digits,
+        "clock_times": numerals.clock_times,
+        "percent": numerals.percentages,
+        "units": numerals.calendar_units,
+        "money": numerals.money,
+        "composite_numbers": numerals.composite_numbers,
+        "normalize_digits": numerals.normalize_chinese_digits,
+        "spelled_letters": commands.join_spelled_letters,
+        "cjk_ascii_spacing": lambda c: commands.ascii_tokens(c, p),
+        "cjk_aliases": lambda c: commands.cjk_aliases(c, p),
+        "normalize_commands": lambda c: commands.normalize_commands(c, p),
+    }
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("token"))
+    return words.distinct()
+
+
+def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).select("token", commands.edit_distance(F.lower("token"), F.lit("clear")).cast("long").alias("distance"))
+
+
+def fuzzy_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).select("token", commands.canonical_token(F.col("token"), commands.load_profiles()).alias("canon"))
+
+
+def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark, sf_dir)
+    return alias_join.lookup_tokens(words, alias_join.alias_table(words, commands.load_profiles(extra_json='{"thing": ["then"], "heat": ["the"]}')))
+
+
+def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = commands.load_profiles('{"clear": {"forms": ["kler", "clear", " "], "fuzzy": false}}', '{"clear": ["klear"], "go": ["gow"]}')
+    rows = [(k, ",".join(v["forms"]), v["fuzzy"]) for k, v in profiles.items()]
+    return spark.createDataFrame(rows, "canon string, forms string, fuzzy boolean")
+
+
+def common_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.substring("text", 1, 60)
+    return _turns(spark, sf_dir).select("conv_id", "turn", text_ops.longest_common_run(text, F.lit(ECHO_PROMPT)).cast("long").alias("run"))
+
+
+def prompt_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit(ECHO_PROMPT[8:40]), F.substring("text", F.lit(1), (F.col("turn") * 5).cast("int")))).otherwise(F.substring("text", 1, 12))
+    return _turns(spark, sf_dir).select("conv_id", "turn", text_ops.is_prompt_echo(text, ECHO_PROMPT).alias("echo"))
+
+
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as token deltas (DELTAS in SQL)."""
+    k = F.col("conv_id") % 3
+    first = F.when(k == 0, "language English<asr_text>").when(k == 1, "lang").otherwise("")
+    delta = F.concat(F.when(F.col("turn") == 0, first).otherwise(""), F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 20))
+    return _turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").alias("seq"), delta.alias("delta"))
+
+
+DELTAS = """
+deltas AS (SELECT CAST(conv_id AS VARCHAR) AS request_id, CAST(turn AS BIGINT) AS seq,
+  CASE WHEN turn = 0 THEN CASE conv_id % 3 WHEN 0 THEN 'language English<asr_text>' WHEN 1 THEN 'lang' ELSE '' END ELSE '' END
+  || substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 20) AS delta FROM conversations)"""
+
+VISIBLE = (
+    DELTAS
+    + """,
+grown AS (SELECT *, string_agg(delta, '') OVER (PARTITION BY request_id ORDER BY seq) AS c FROM deltas),
+opened AS (SELECT request_id, min(seq) AS d FROM grown WHERE contains(lower(c), '<asr_text>') OR length(c) >= 64 GROUP BY 1),
+last AS (SELECT request_id, max(seq) AS top, arg_max(c, seq) AS c FROM grown GROUP BY 1),
+visible AS (
+  SELECT g.request_id, g.seq, CASE WHEN g.seq > o.d THEN g.delta
+    WHEN contains(lower(g.c), '<asr_text>') THEN substr(g.c, instr(lower(g.c), '<asr_text>') + 10) ELSE g.c END AS text
+  FROM grown g JOIN opened o USING (request_id) WHERE g.seq >= o.d
+  UNION ALL SELECT l.request_id, l.top + 1, l.c FROM last l LEFT JOIN opened o USING (request_id) WHERE o.d IS NULL)"""
+)
+
+
+def _sse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Server-sent lines with junk, keyed on the ids (SSE in SQL)."""
+    rows = _deltas(spark, sf_dir)
+    k = F.col("seq") % 5
+    line = (
+        F.when(k == 3, "data: [DONE]")
+        .when(k == 2, "data: {broken")
+        .otherwise(F.concat(F.lit('  data: {"choices":[{"index":0,"delta":{"content":"'), "delta", F.lit('"}}]}')))
+    )
+    return rows.select("request_id", "seq", line.alias("line"))
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ['{"text": "ok"}', '{"text": 5}', '{"other": "x"}', "[1]", "broken", '{"text": ""}']
+    return readers.parse_replies(spark.createDataFrame(list(enumerate(kinds)), "case_id long, reply string")).select("case_id", "raw", F.col("status").cast("long").alias("status"))
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = b'--b\r\nContent-Disposition: form-data; name="%s"%s\r\n\r\nRIFFfake\r\n--b--\r\n'
+    kind = "multipart/form-data; boundary=b"
+    rows = [(0, kind, part % (b"file", b'; filename="a.wav"')), (1, kind, part % (b"file", b"")), (2, kind, part % (b"other", b"")), (3, "text/plain", b"x")]
+    found = readers.decode_uploads(spark.createDataFrame(rows, "case_id long, content_type string, body binary"))
+    return found.select("case_id", "filename", F.length("content").cast("long").alias("n_bytes"), F.col("status").cast("long").alias("status"))
+
+
+def finalize_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finalize(_decorated(spark, sf_dir), "raw", "text").select("conv_id", "turn", "text")
+
+
+def finalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finalize(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))).select("doc_id", "text")
+
+
+def stream_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deltas.final_texts(_deltas(spark, sf_dir), CleanupOptions(organizer="none", commands=False)).select("request_id", "text")
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deltas.stream_events(_deltas(spark, sf_dir), CleanupOptions(organizer="none", commands=False))
+
+
+def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _deltas(spark, sf_dir)
+    failed = rows.where("CAST(request_id AS BIGINT) % 7 = 0").select("request_id", F.lit("engine failed").alias("message")).distinct()
+    events = deltas.sse_encode(deltas.stream_events(rows, CleanupOptions(organizer="none", commands=False), failed).where("type IN ('error', 'done')"))
+    return events.select("request_id", "type", "line")
+
+
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = dict(
+        [
+            _over_turns("strip_markers", text_ops.strip_markers),
+            _over_turns("strip_sil", text_ops.strip_sil),
+            _over_turns("spoken_gate", lambda c: text_ops.has_spoken_content(F.regexp_replace(c, "[a-fA-F]", "")), "spoken"),
+            _over_turns("strip_trailing_punct", text_ops.strip_trailing_punctuation),
+            _over_documents("ascii_fillers", fillers.ascii_fillers),
+            _over_documents("tidy_space", fillers.collapse_space),
+            _over_documents("dup_punct", fillers.drop_duplicate_punct),
+            _over_documents("punct_runs", fillers.resolve_punct_runs),
+            _over_documents("tidy_lines", fillers.tidy_lines),
+        ]
+    )
+    for f in (edit_distance, fuzzy_commands, alias_lookup, profile_table, common_run, prompt_echo, finalize_conversations, finalize_documents, stream_final, stream_events, stream_errors):
+        found[f.__name__] = f
+    found["stream_marker_filter"] = lambda s, d: deltas.marker_filter(_deltas(s, d))
+    found["sse_decode"] = lambda s, d: readers.sse_decode(_sse(s, d))
+    found["engine_replies"] = _replies
+    found["uploads"] = _uploads
+    for name, f in _rewrites().items():
+        found[name] = partial(_golden, f, goldens.OPERATORS[name])
+    for name, (organizer, prompt, strip, cases) in goldens.FINALIZE.items():
+        found[name] = partial(_golden_final, CleanupOptions(organizer=organizer, prompt=prompt, strip_trailing_punct=strip), cases)
+    return found
+
+
+_HS, _PUNCT = r"[ \t\f\v]", C.WEAK + C.STRONG
+_UNMARKED = "regexp_replace(raw, '^\\s*language\\s+[A-Za-z()\\- ]+<asr_text>', '', 'i')"
+
+
+def _replace(x: str, pattern: str, by: str, flags: str = "g") -> str:
+    return f"regexp_replace({x}, '{pattern}', '{by}', '{flags}')"
+
+
+def _space_sql(x: str) -> str:
+    x = _replace(_replace(x, f"{_HS}+", " "), f"{_HS}+([{_PUNCT}])", "\\1")
+    return _replace(x, f"([{C.FULL}]){_HS}+", "\\1")
+
+
+def _dup_sql(x: str) -> str:
+    for ch in C.WEAK + "。":
+        x = _replace(x, f"{ch}(?:{_HS}*{ch})+", ch)
+    return x
+
+
+def _runs_sql(x: str) -> str:
+    for _ in range(3):
+        x = _replace(_replace(x, f"([{C.STRONG}]){_HS}*([{C.WEAK}])", "\\1"), f"([{C.WEAK}]){_HS}*([{C.STRONG}])", "\\2")
+    return x
+
+
+def _lines_sql(x: str) -> str:
+    blanks = "' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288)"
+    line = f"trim(trim(trim(l, {blanks}), '{C.WEAK}'), {blanks})"
+    return f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: {line}), lambda l: l <> ''), chr(10))"
+
+
+def _fillers_sql(x: str) -> str:
+    words = ", ".join(f"'{w}'" for w in C.ASCII_FILLERS)
+    return f"array_to_string(list_filter(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), lambda t: lower(t) NOT IN ({words})), '')"
+
+
+def _canon_sql(t: str, distance: str = "levenshtein(lower({t}), 'clear')") -> str:
+    return (
+        f"CASE WHEN lower({t}) = 'clear' THEN 'clear' WHEN length({t}) BETWEEN 3 AND 8 AND {distance.format(t=t)} <= 2 THEN 'clear' "
+        f"WHEN lower({t}) IN ('claire', 'clare') THEN 'clear' ELSE {t} END"
+    )
+
+
+def _spelled_sql(x: str) -> str:
+    """Three or more single letters in a row lose the blanks between them: words and gaps, seen with their neighbours."""
+    single = lambda k: f"coalesce(regexp_matches(ts[i + {k}], '^[A-Za-z]$'), false)"
+    blank = lambda k: f"coalesce(regexp_matches(ts[i + {k}], '^[ \t]+$'), false)"
+    more = f"(({blank(-2)} AND {single(-3)}) OR ({blank(2)} AND {single(3)}))"
+    gone = f"({blank(0)} AND {single(-1)} AND {single(1)} AND {more})"
+    return f"list_transform([regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+')], lambda ts: array_to_string(list_filter(ts, lambda t, i: NOT {gone}), ''))[1]"
+
+
+def _final_sql(raw: str) -> str:
+    text = f"replace({raw}, '/sil', '')"
+    text = _lines_sql(_runs_sql(_dup_sql(_space_sql(_fillers_sql(text)))))
+    tokens = f"array_to_string(list_transform(regexp_extract_all({_spelled_sql(text)}, '[A-Za-z]+|[^A-Za-z]+'), lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z]') THEN {_canon_sql('t')} ELSE t END), '')"
+    return tokens
+
 
-def queries() -> dict:
-    return {}
+def _ended_sql(x: str) -> str:
+    return f"regexp_replace({x}, '[{C.TRAILING}]+([”’\"''」』）)》】〕\\]}}]*)$', '\\1')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = "words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM documents)"
+    turn = lambda x, out="text": f"WITH {DECORATED} SELECT conv_id, turn, {x} AS {out} FROM decorated"
+    doc = lambda x: f"SELECT doc_id, {x} AS text FROM documents"
+    prompt = ECHO_PROMPT
+    bare = prompt.replace(" ", "")
+    n_run = f"coalesce(list_max(list_transform(range(1, 61), lambda k: CASE WHEN len(list_filter(range(1, length(t) - k + 2), lambda i: contains('{prompt}', substr(t, i, k)))) > 0 THEN k ELSE 0 END)), 0)"
+    k = "greatest(6, CAST(ceil(length(t) * 0.5) AS BIGINT))"
+    found = {
+        "strip_markers": turn("CASE WHEN conv_id % 4 IN (0, 1) THEN substr(raw, instr(raw, '<asr_text>') + 10) ELSE raw END"),
+        "strip_sil": turn("array_to_string(string_split(raw, '/sil'), '')"),
+        "spoken_gate": turn("len(list_filter(string_split(regexp_replace(raw, '[a-fA-F]', '', 'g'), ''), lambda c: regexp_matches(c, '^[\\p{L}\\p{N}]$'))) > 0", "spoken"),
+        "strip_trailing_punct": turn(_ended_sql("raw")),
+        "ascii_fillers": doc(_fillers_sql("text")),
+        "tidy_space": doc(_space_sql("text")),
+        "dup_punct": doc(_dup_sql("text")),
+        "punct_runs": doc(_runs_sql("text")),
+        "tidy_lines": doc(_lines_sql("text")),
+        "edit_distance": f"WITH {words} SELECT token, levenshtein(lower(token), 'clear') AS distance FROM words",
+        "fuzzy_commands": f"WITH {words} SELECT token, {_canon_sql('token')} AS canon FROM words",
+        "alias_lookup": f"""WITH {words}, told AS (SELECT token, CASE WHEN lower(token) IN ('clear', 'thing', 'heat') THEN lower(token)
+            WHEN length(token) BETWEEN 3 AND 8 AND levenshtein(lower(token), 'clear') <= 2 THEN 'clear'
+            WHEN lower(token) IN ('claire', 'clare') THEN 'clear' WHEN lower(token) = 'then' THEN 'thing' WHEN lower(token) = 'the' THEN 'heat' END AS canon FROM words)
+            SELECT token, canon FROM told WHERE canon IS NOT NULL""",
+        "profile_table": "SELECT canon, forms, fuzzy FROM (VALUES ('clear', 'kler,klear', false), ('发送', '发松,发宋,法送,法松,发耸,发颂,发诵', false), ('go', 'gow', false)) AS t(canon, forms, fuzzy)",
+        "common_run": f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST({n_run} AS BIGINT) AS run FROM (SELECT conv_id, turn, substr(text, 1, 60) AS t FROM conversations)",
+        "prompt_echo": f"""WITH x AS (SELECT conv_id, turn, regexp_replace(CASE WHEN conv_id % 3 = 0 THEN '{prompt[8:40]}' || substr(text, 1, CAST(turn * 5 AS BIGINT))
+            ELSE substr(text, 1, 12) END, '\\s+', '', 'g') AS t FROM conversations)
+            SELECT conv_id, CAST(turn AS BIGINT) AS turn, len(list_filter(range(1, length(t) - {k} + 2), lambda i: contains('{bare}', substr(t, i, {k})))) > 0 AS echo FROM x""",
+        "finalize_conversations": f"""WITH {DECORATED}, done AS (SELECT conv_id, turn, {_final_sql(_UNMARKED)} AS t FROM decorated)
+            SELECT conv_id, turn, CASE WHEN regexp_matches(t, '[\\p{{L}}\\p{{N}}]') THEN {_ended_sql('t')} ELSE '' END AS text FROM done""",
+        "finalize_documents": f"""WITH done AS (SELECT doc_id, {_final_sql('text')} AS t FROM documents)
+            SELECT doc_id, CASE WHEN regexp_matches(t, '[\\p{{L}}\\p{{N}}]') THEN {_ended_sql('t')} ELSE '' END AS text FROM done""",
+        "stream_marker_filter": f"WITH {VISIBLE} SELECT request_id, seq, text FROM visible WHERE text <> ''",
+        "stream_final": f"""WITH {DELTAS}, joined AS (SELECT request_id, string_agg(delta, '' ORDER BY seq) AS raw FROM deltas GROUP BY 1)
+            SELECT request_id, CASE WHEN regexp_matches({_UNMARKED}, '[A-Za-z]') THEN {_UNMARKED} ELSE '' END AS text FROM joined""",
+        "stream_events": f"""WITH {VISIBLE}, joined AS (SELECT request_id, string_agg(delta, '' ORDER BY seq) AS raw FROM deltas GROUP BY 1),
+            live AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY seq) - 1 AS event_seq, text FROM visible WHERE text <> ''),
+            counted AS (SELECT j.request_id, count(l.text) AS n, any_value(CASE WHEN regexp_matches({_UNMARKED}, '[A-Za-z]') THEN {_UNMARKED} ELSE '' END) AS text FROM joined j LEFT JOIN live l USING (request_id) GROUP BY 1)
+            SELECT request_id, event_seq, 'delta' AS type, text, CAST(NULL AS VARCHAR) AS message FROM live
+            UNION ALL SELECT request_id, n, 'final', text, NULL FROM counted UNION ALL SELECT request_id, n + 1, 'done', NULL, NULL FROM counted""",
+        "stream_errors": f"""WITH {DELTAS} SELECT DISTINCT request_id, CASE WHEN CAST(request_id AS BIGINT) % 7 = 0 THEN 'error' ELSE 'done' END AS type,
+            CASE WHEN CAST(request_id AS BIGINT) % 7 = 0 THEN 'data: {{"type":"error","message":"engine failed"}}' ELSE 'data: {{"type":"done"}}' END || chr(10) || chr(10) AS line FROM deltas""",
+        "sse_decode": f"""WITH {DELTAS} SELECT request_id, seq, delta FROM deltas WHERE seq < 3 AND seq % 5 <> 2 AND delta <> ''""",
+        "engine_replies": "SELECT CAST(case_id AS BIGINT) AS case_id, raw, CAST(status AS BIGINT) AS status FROM (VALUES (0, 'ok', 200), (1, NULL, 502), (2, NULL, 502), (3, NULL, 502), (4, NULL, 502), (5, '', 200)) AS t(case_id, raw, status)",
+        "uploads": "SELECT CAST(case_id AS BIGINT) AS case_id, filename, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(status AS BIGINT) AS status FROM (VALUES (0, 'a.wav', 8, 200), (1, 'audio.wav', 8, 200), (2, NULL, NULL, 400), (3, NULL, NULL, 400)) AS t(case_id, filename, n_bytes, status)",
+    }
+    found |= {name: goldens.sql(cases) for name, cases in goldens.OPERATORS.items()}
+    return found | {name: goldens.sql(case[3]) for name, case in goldens.FINALIZE.items()}
