@@ -100,6 +100,20 @@ def canonical_token(token: Column, profiles: Profiles) -> Column:
     return known.otherwise(token)
 
 
+def _branches(words: set[tuple[str, ...]]) -> str:
+    """Matches the letters of any of the words, in order, others between them; common beginnings once."""
+    by: dict[str, set[tuple[str, ...]]] = {}
+    for w in words:
+        if not w:
+            return ""
+        by.setdefault(w[0], set()).add(w[1:])
+    parts = []
+    for first, rest in sorted(by.items()):
+        more = _branches(rest)
+        parts.append(C.quote(first) + (f"[A-Za-z]*?{more}" if more else ""))
+    return f"(?:{'|'.join(parts)})"
+
+
 def _token_pattern(profiles: Profiles) -> str:
     """Whole ASCII words that may change: next to a CJK character, or possibly a spelling of a command.
 
@@ -113,8 +127,7 @@ def _token_pattern(profiles: Profiles) -> str:
         if profile["fuzzy"] and _is_ascii(canon) and " " not in canon:
             rests |= set(combinations(canon, max(0, len(canon) - C.FUZZY_DISTANCE)))
     least, most = C.FUZZY_LENGTHS
-    near = "|".join(any_.join(map(C.quote, r)) for r in sorted(rests))
-    fuzzy = f"(?=[A-Za-z]{{{least},{most}}}(?![A-Za-z])){any_}(?:{near}){any_}|" if rests else ""
+    fuzzy = f"(?=[A-Za-z]{{{least},{most}}}(?![A-Za-z])){any_}?{_branches(rests)}{any_}|" if rests else ""
     return f"(?iu)(?<![A-Za-z])(?:(?<=[{C.CJK}])[A-Za-z]++|[A-Za-z]++(?=[{C.CJK}])|(?:{fuzzy}{C.alternation(sorted(known))})(?![A-Za-z]))"
 
 

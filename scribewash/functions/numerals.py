@@ -19,6 +19,8 @@ _PROTECTED = f"(?:{C.WEEKDAYS}|{C.alternation(C.FUNCTION_WORDS + C.IDIOMS)})"
 def _value(s: Column) -> Column:
     """Value of a numeral with place values: one pass, characters left to right; null beyond 18 figures."""
     zero = F.lit(0).cast("long")
+    # greatest() would turn the null of an overflow into 1.
+    at_least_one = lambda x: F.when(x < 1, F.lit(1).cast("long")).otherwise(x)
     start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("figure"))
 
     def step(a: Column, ch: Column) -> Column:
@@ -30,8 +32,8 @@ def _value(s: Column) -> Column:
             F.try_add(a["section"], F.try_multiply(F.greatest(a["figure"], F.lit(1).cast("long")), unit)).alias("section"),
             zero.alias("figure"),
         )
-        wan = F.struct(F.try_add(a["total"], F.try_multiply(F.greatest(held, F.lit(1).cast("long")), unit)).alias("total"), zero.alias("section"), zero.alias("figure"))
-        whole = F.greatest(F.try_add(a["total"], held), F.lit(1).cast("long"))
+        wan = F.struct(F.try_add(a["total"], F.try_multiply(at_least_one(held), unit)).alias("total"), zero.alias("section"), zero.alias("figure"))
+        whole = at_least_one(F.try_add(a["total"], held))
         yi = F.struct(F.try_multiply(whole, unit).alias("total"), zero.alias("section"), zero.alias("figure"))
         read = F.translate(ch, C.DIGITS, C.DIGIT_VALUES).cast("long")
         plain = F.struct(a["total"].alias("total"), a["section"].alias("section"), F.when(figure > 0, read).otherwise(zero).alias("figure"))

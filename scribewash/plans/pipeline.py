@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import commands, fillers, numerals
 from ..functions.commands import Profiles, load_profiles
+from ..functions.constants import CJK
 from ..functions.rewrite import Rewrite
-from ..functions.text_ops import has_spoken_content, is_prompt_echo, strip_markers, strip_sil, strip_trailing_punctuation
+from ..functions.text_ops import has_spoken_content, is_prompt_echo, strip_blanks, strip_markers, strip_sil, strip_trailing_punctuation
 
 ORGANIZERS = ("none", "rule")
 
@@ -32,17 +33,47 @@ class CleanupOptions:
             raise ValueError(f"organizer: one of {', '.join(ORGANIZERS)}")
 
 
-def stages(options: CleanupOptions) -> list[Rewrite]:
-    """The clean-up as a list of rewrites, in order."""
+#: Without one of these characters no Chinese rule can apply, and no earlier stage brings one in.
+CHINESE = f"[〇{CJK}]"
+
+
+@dataclass(frozen=True)
+class Stage:
+    """Rewrites that share a projection; ``chinese`` ones are skipped for texts without a Chinese character."""
+
+    rewrites: tuple[Rewrite, ...]
+    chinese: bool = False
+
+    def __call__(self, c: Column) -> Column:
+        for rewrite in self.rewrites:
+            c = rewrite(c)
+        return c
+
+
+def stages(options: CleanupOptions) -> list[Stage]:
+    """The clean-up in order: simple rewrites share a projection, those that use their input twice have their own."""
     o = options
-    found: list[Rewrite] = [lambda c: strip_sil(strip_markers(F.coalesce(c, F.lit(""))))]
+    found = [Stage((lambda c: F.coalesce(c, F.lit("")), strip_markers, strip_sil))]
     if o.prompt:
-        found.append(lambda c: F.when(is_prompt_echo(c, o.prompt), "").otherwise(c))
-    found += fillers.STAGES if o.organizer == "rule" else ()
-    found += numerals.STAGES if o.numerals else ()
-    found += commands.stages(o.profiles) if o.commands else []
+        found.append(Stage((lambda c: F.when(is_prompt_echo(c, o.prompt), "").otherwise(c),)))
+    if o.organizer == "rule":
+        f = fillers
+        found += [
+            Stage((f.collapse_stutter,), True),
+            Stage((f.phrase_fillers, f.deictic_run, f.deictic_single, f.interjection_clusters, f.topic_tail), True),
+            Stage((f.ascii_fillers, f.tidy, strip_blanks)),
+        ]
+    if o.numerals:
+        n = numerals
+        found += [Stage((x,), True) for x in (n.acronym_digits, n.clock_times, n.percentages, n.calendar_units, n.money, n.composite_numbers)]
+        found.append(Stage((n.drop_reserved,)))
+    if o.commands:
+        tokens = lambda c: commands.ascii_tokens(c, o.profiles)
+        found += [Stage((commands.join_spelled_letters, tokens)), Stage(tuple(commands.ascii_phrase_stages(o.profiles)))]
+        # Listed spellings may hold any character, and a command may be Chinese: no skipping here.
+        found += [Stage((x,)) for x in commands.cjk_alias_stages(o.profiles)]
     ended = strip_trailing_punctuation if o.strip_trailing_punct else (lambda c: c)
-    return [*found, lambda c: F.when(has_spoken_content(c), ended(c)).otherwise("")]
+    return [*found, Stage((lambda c: F.when(has_spoken_content(c), ended(c)).otherwise(""),))]
 
 
 def finalize(df: DataFrame, raw: str = "raw", out: str = "text", options: CleanupOptions | None = None) -> DataFrame:
@@ -51,11 +82,12 @@ def finalize(df: DataFrame, raw: str = "raw", out: str = "text", options: Cleanu
     Each stage is a projection over a plain column: the plan grows by one node a stage, is resolved stage
     by stage, and an expression that uses its input twice does not copy the stages before it.
     """
-    work = "_scribewash_text"
-    df = df.withColumn(work, F.col(raw))
+    work, chinese = "_scribewash_text", "_scribewash_chinese"
+    df = df.withColumns({work: F.col(raw), chinese: F.coalesce(F.col(raw).rlike(CHINESE), F.lit(False))})
     for stage in stages(options or CleanupOptions()):
-        df = df.withColumn(work, stage(F.col(work)))
-    return df.withColumn(out, F.col(work)).drop(work)
+        done = stage(F.col(work))
+        df = df.withColumn(work, F.when(F.col(chinese), done).otherwise(F.col(work)) if stage.chinese else done)
+    return df.withColumn(out, F.col(work)).drop(work, chinese)
 
 
 def clean(df: DataFrame, raw: str = "raw", out: str = "text", options: CleanupOptions | None = None, observe: str | None = None) -> DataFrame:
