@@ -33,7 +33,8 @@ from .common import materialise, utf8
 WINDOW, SIMILARITY, RUN_TOKENS, CONSISTENCY = 5, 0.8, 13, 0.8
 MIN_WORDS = 2
 FILTER_BITS = 24
-CACHE_TOKENS = 400_000
+#: Tokens that a task remembers.
+CACHE_TOKENS = 120_000
 
 # Unit words and symbols.
 UNITS = frozenset(
@@ -83,22 +84,21 @@ class Canon:
 
     def _reset(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.rows: list[tuple[int, int, int, int, bool]] = []
-        self.table = np.zeros((0, 5), np.uint64)
+        self.table = np.zeros((CACHE_TOKENS, 5), np.uint64)
 
     def _index(self, token: bytes) -> int:
-        i = self.at[token] = len(self.rows)
-        self.rows.append(token_kinds(token))
+        i = self.at[token] = len(self.at)
+        if i >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((len(self.table) // 2, 5), np.uint64)])
+        self.table[i] = token_kinds(token)
         return i
 
     def __call__(self, tokens: list[bytes], starts: list[int] | np.ndarray = (0,)) -> tuple[np.ndarray, np.ndarray]:
         """(code, kind) of each token of texts that lie one after another and begin at ``starts``."""
-        if len(self.rows) > CACHE_TOKENS:
+        if len(self.at) > CACHE_TOKENS:
             self._reset()
         get, new = self.at.get, self._index
         idx = np.array([i if (i := get(t)) is not None else new(t) for t in tokens], np.int64)
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.uint64)])
         rows = self.table[idx]
         first = np.ones(len(idx), bool)
         first[1:] = rows[:-1, 4] > 0
