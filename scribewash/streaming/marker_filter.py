@@ -22,7 +22,7 @@ OUTPUT = "request_id string, event_seq long, type string, raw string"
 STATE = "held string, done boolean, raw string, n long"
 
 
-def _updater(tag: str, hold: int, timeout_ms: int):
+def _updater(tag: str, hold: int, timeout_ms: int | None):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, done, raw, n = state.get if state.exists else ("", False, "", 0)
         events: list[tuple[str, int, str, str]] = []
@@ -59,16 +59,22 @@ def _updater(tag: str, hold: int, timeout_ms: int):
             state.remove()
         else:
             state.update((held, done, raw, n))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(events, columns=["request_id", "event_seq", "type", "raw"])
 
     return update
 
 
-def live_events(deltas: DataFrame, options: CleanupOptions | None = None, timeout_ms: int = 600_000) -> DataFrame:
-    """A stream of (request_id, event_seq, type, text, message); the final text has gone through the clean-up."""
+def live_events(deltas: DataFrame, options: CleanupOptions | None = None, timeout_ms: int | None = 600_000) -> DataFrame:
+    """A stream of (request_id, event_seq, type, text, message); the final text has gone through the clean-up.
+
+    Without a timeout (None) only an end row closes a request; a query that is to stop by itself when all
+    input is read (availableNow) needs that, as pending timeouts keep it running.
+    """
     update = _updater(C.STREAM_TAG, C.STREAM_HOLD, timeout_ms)
-    events = deltas.groupBy("request_id").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    waits = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    events = deltas.groupBy("request_id").applyInPandasWithState(update, OUTPUT, STATE, "append", waits)
     cleaned = finalize(events.withColumn("_raw", F.when(F.col("type") == "final", F.col("raw"))), "_raw", "_final", options)
     text = F.when(F.col("type") == "final", F.col("_final")).when(F.col("type") == "delta", F.col("raw"))
     return cleaned.select("request_id", "event_seq", "type", text.alias("text"), F.lit(None).cast("string").alias("message"))

@@ -21,7 +21,7 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(src))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
     query = (
-        live_events(stream).writeStream.format("memory").queryName("live").outputMode("append")
+        live_events(stream, timeout_ms=None).writeStream.format("memory").queryName("live").outputMode("append")
         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     )
     try:
