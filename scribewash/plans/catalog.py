@@ -72,7 +72,11 @@ def _golden_final(options: CleanupOptions, cases: list, spark: SparkSession, sf_
 
 def _rewrites() -> dict[str, Callable[[Column], Column]]:
     p = commands.load_profiles()
+    org = {"org model": {"forms": ["ORG model", "o r g model", "og model"], "fuzzy": False}}
     return {
+        "clause_connectors": lambda c: fillers.starts_with_connector(c).cast("string"),
+        "to_digits": numerals.to_digits,
+        "ascii_phrases": lambda c: commands.ascii_phrases(c, org),
         "strong_stutter": fillers.strong_stutter,
         "stutter": fillers.collapse_stutter,
         "phrase_fillers": fillers.phrase_fillers,

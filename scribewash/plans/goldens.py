@@ -77,6 +77,10 @@ OPERATORS: dict[str, list[tuple[str, str | None]]] = {
     ],
     "topic_tail": [("火啊这个", "火啊"), ("火啊这个好", None), ("火啊那个。", "火啊。")],
     "filter_fillers": [("那官方的呃飞猪云很好用", "那官方的飞猪云很好用"), ("好。嗯。走。", "好。走。"), ("um, I uh think", "I think"), ("uhh", None)],
+    "clause_connectors": [("而且好", "true"), ("然后呢", "true"), ("我然后", "false"), ("", "false")],
+    "to_digits": [
+        ("十", "10"), ("三十五", "35"), ("二千五百", "2500"), ("一百零五", "105"), ("三万二千", "32000"), ("二〇二五", "2025"), ("百", "100"), ("两", "2"),
+    ],
     "acronym_digits": [("M P 四", "MP4"), ("MP 四", "MP4"), ("MP四", "MP4"), ("API 一下", None), ("A 四", None), ("done MP 四", "done MP4")],
     "clock_times": [
         ("三点五十分", "3点50分"), ("下午两点半", "下午2点半"), ("第一点", None), ("第二点", "第2点"), ("一点八秒", "1.8秒"), ("九点八分", "9.8分"),
@@ -92,6 +96,7 @@ OPERATORS: dict[str, list[tuple[str, str | None]]] = {
     ],
     "spelled_letters": [("C L E A R", "CLEAR"), ("o r g model", "org model"), ("a b", None), ("say A B C now", "say ABC now"), ("A1 B C", None)],
     "cjk_ascii_spacing": [("用API做", "用 API 做"), ("用 API 做", None), ("API", None)],
+    "ascii_phrases": [("用org  Model写", "用 org model 写"), ("orgmodels", None), ("o r g model", "org model"), ("og model!", "org model!")],
     "cjk_aliases": [("发松", "发送"), ("说可丽儿吧", "说 clear 吧"), ("可丽儿可丽儿", "clear  clear")],
     "normalize_commands": [("please C L E A R now", "please clear now"), ("法送一下", "发送一下"), ("Clare", "clear"), ("奥格猫抖的 org mode 配置", None)],
 }
