@@ -114,21 +114,29 @@ def _branches(words: set[tuple[str, ...]]) -> str:
     return f"(?:{'|'.join(parts)})"
 
 
-def _token_pattern(profiles: Profiles) -> str:
-    """Whole ASCII words that may change: next to a CJK character, or possibly a spelling of a command.
+def _near_pattern(canon: str) -> str:
+    """Whole words that may be within FUZZY_DISTANCE edits of a command, by length.
 
-    A word within two edits of a command keeps all but two of its letters in order: words without such a
-    rest are left out here, the distance decides about the others.
+    A word of m letters within d edits of a command of n keeps max(m, n) - d of its letters in order.
     """
-    any_ = "[A-Za-z]*"
-    known = {w for k, v in profiles.items() for w in (k, *v["forms"]) if re.fullmatch("[A-Za-z]+", w)} | {"clear"}
-    rests: set[tuple[str, ...]] = set()
-    for canon, profile in profiles.items():
-        if profile["fuzzy"] and _is_ascii(canon) and " " not in canon:
-            rests |= set(combinations(canon, max(0, len(canon) - C.FUZZY_DISTANCE)))
     least, most = C.FUZZY_LENGTHS
-    fuzzy = f"(?=[A-Za-z]{{{least},{most}}}(?![A-Za-z])){any_}?{_branches(rests)}{any_}|" if rests else ""
-    return f"(?iu)(?<![A-Za-z])(?:(?<=[{C.CJK}])[A-Za-z]++|[A-Za-z]++(?=[{C.CJK}])|(?:{fuzzy}{C.alternation(sorted(known))})(?![A-Za-z]))"
+    n, d = len(canon), C.FUZZY_DISTANCE
+    by_kept: dict[int, list[int]] = {}
+    for m in range(max(least, n - d), min(most, n + d) + 1):
+        by_kept.setdefault(max(m, n) - d, []).append(m)
+    parts = []
+    for kept, sizes in by_kept.items():
+        rests = _branches(set(combinations(canon, max(kept, 0))))
+        parts.append(f"(?=[A-Za-z]{{{sizes[0]},{sizes[-1]}}}(?![A-Za-z]))[A-Za-z]*?{rests}[A-Za-z]*+")
+    return "|".join(parts)
+
+
+def _token_pattern(profiles: Profiles) -> str:
+    """Whole ASCII words that may change: next to a CJK character, or possibly a spelling of a command."""
+    known = {w for k, v in profiles.items() for w in (k, *v["forms"]) if re.fullmatch("[A-Za-z]+", w)} | {"clear"}
+    near = [p for k, v in profiles.items() if v["fuzzy"] and _is_ascii(k) and " " not in k and (p := _near_pattern(k))]
+    words = "|".join([*near, C.alternation(sorted(known))])
+    return f"(?iu)(?<![A-Za-z])(?:(?<=[{C.CJK}])[A-Za-z]++|[A-Za-z]++(?=[{C.CJK}])|(?:{words})(?![A-Za-z]))"
 
 
 def ascii_tokens(c: Column, profiles: Profiles) -> Column:

@@ -1,5 +1,7 @@
 """Stated cases of the clean-up, dialect traps, plan shape, profiles, readers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,7 +102,14 @@ def test_candidates_are_complete(spark):
     """The pattern that picks words for the distance leaves none out."""
     import itertools
 
-    words = ["".join(w) for w in itertools.product("clearx", repeat=4)]
+    words = ["".join(w) for n in (2, 3, 4) for w in itertools.product("clearx", repeat=n)]
+    rng = random.Random(1)
+    for _ in range(4000):  # longer ones, by edits
+        w = list("clear")
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "e", "C"])
+        words.append("".join(w) or "x")
     df = spark.createDataFrame([(w,) for w in words], "w string")
     p = commands.load_profiles()
     bad = df.where(commands.canonical_token(F.col("w"), p) != commands.ascii_tokens(F.col("w"), p))
