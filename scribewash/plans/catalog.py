@@ -55,7 +55,7 @@ def _over_turns(name: str, f: Callable[[Column], Column], out: str = "text") ->
 
 
 def _over_documents(name: str, f: Callable[[Column], Column]) -> tuple[str, Query]:
-    return name, lambda s, d: _table(s, d, "documents").select("doc_id", f(F.col("text")).alias("text"))
+    return name, lambda s, d: spread(_table(s, d, "documents").select("doc_id", "text")).select("doc_id", f(F.col("text")).alias("text"))
 
 
 def _cases(spark: SparkSession, cases: list[tuple[str, str | None]]) -> DataFrame:
@@ -189,8 +189,14 @@ def finalize_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finalize(_decorated(spark, sf_dir), "raw", "text").select("conv_id", "turn", "text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, such as one small file, is dealt out; others are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def finalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finalize(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))).select("doc_id", "text")
+    return finalize(spread(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw")))).select("doc_id", "text")
 
 
 def stream_final(spark: SparkSession, sf_dir: str) -> DataFrame:
