@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import chat_digest, format_chats
-from .common import table
+from .common import documents, table
 from .decontaminate import decontaminate
 from .language_id import language_id
 from .license_scan import license_scan
@@ -23,36 +23,36 @@ SELF_TEST = "</s>[INST] ok [/INST]"
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op2_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op3_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_digest(table(spark, sf_dir, "documents"))
+    return encode_digest(documents(spark, sf_dir))
 
 
 def op4_quality_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_mil(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_mil(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(documents(spark, sf_dir))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash_groups(documents(spark, sf_dir))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    out = suffix_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -68,7 +68,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id(table(spark, sf_dir, "documents"))
+    return language_id(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -109,5 +109,39 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BI
   sha256(learnt) AS loss_sha256, formatted_chars FROM joined
 """
 
+# Hexadecimal digits stand for bytes; texts are first cut into overlapping parts, as a substring far into a
+# long string is slow. Spans: starts of known windows that lie at most 50 apart are one removed run.
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents
+), parts AS (
+  SELECT k, o, substr(h, 2 * o + 1, 698) AS g FROM (SELECT k, h, unnest(range(0, greatest(length(h) // 2 - 49, 0), 300)) AS o FROM d)
+), windows AS (
+  SELECT k, o + j AS i, substr(g, 2 * j + 1, 100) AS s
+  FROM (SELECT k, o, g, unnest(range(0, length(g) // 2 - 49)) AS j FROM parts)
+), firsts AS (
+  SELECT s, min(k) AS least FROM windows GROUP BY s HAVING min(k) < max(k)
+), starts AS (
+  SELECT DISTINCT k, i FROM windows JOIN firsts USING (s) WHERE least < k
+), gaps AS (
+  SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM starts
+), numbered AS (
+  SELECT k, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS span FROM gaps
+), spans AS (
+  SELECT k, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY k, span
+), pieces AS (
+  SELECT k, span, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS after FROM spans
+), cut AS (
+  SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) AS kept
+  FROM pieces JOIN d USING (k) GROUP BY k
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": OP9_SQL}
+    return {"op8_suffix_array_dedup": OP8_SQL, "op9_chat_formatting": OP9_SQL}
