@@ -37,6 +37,8 @@ FLOOR = (0.5, 0.10, 0.25, 1.0, 1.0, 0.35)
 #: Statistics are held in steps of 1/QUANTUM: their sums are then exact in doubles, in any order.
 QUANTUM = 1024
 KEEP_SHARE, STEPS, N_BINS, MIN_GROUP = 0.75, 4, 512, 100
+#: Groups whose estimates are broadcast (some 400 bytes each); beyond, both sides are salted and shuffled.
+MAX_BROADCAST_GROUPS, SALTS = 10_000, 32
 #: The cut as the share of regular documents beyond it.
 TAIL = 1e-5
 
@@ -124,7 +126,15 @@ def _distance(d: int) -> Column:
 MODEL = "gkey string, center array<double>, precision array<double>"
 
 
-def _concentrate(model: DataFrame, stats: DataFrame) -> DataFrame:
+def _with_model(stats: DataFrame, model: DataFrame, n_groups: int) -> DataFrame:
+    """Each document with its group's estimate; a group with a third of all rows does not meet in one task."""
+    if n_groups <= MAX_BROADCAST_GROUPS:
+        return stats.join(F.broadcast(model), "gkey")
+    salted = stats.withColumn("salt", F.pmod(F.xxhash64("doc_id", *[f"v{i}" for i in range(len(DIMS))]), F.lit(SALTS)).cast("int"))
+    return salted.join(model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["gkey", "salt"]).drop("salt")
+
+
+def _concentrate(model: DataFrame, stats: DataFrame, n_groups: int) -> DataFrame:
     """One concentration step: the centre and scatter of the nearest bins that hold KEEP_SHARE."""
     d = len(DIMS)
     # Bins grow by 3 %; the last is open.
@@ -133,7 +143,7 @@ def _concentrate(model: DataFrame, stats: DataFrame) -> DataFrame:
     sums = [F.count(F.lit(1)).cast("double").alias("n")]
     sums += [F.sum(f"v{i}").alias(f"s{i}") for i in range(d)]
     sums += [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"s{i}_{j}") for i, j in pairs]
-    moments = stats.join(model, "gkey").withColumn("bin", bin_).groupBy("gkey", "bin").agg(*sums)
+    moments = _with_model(stats, model, n_groups).withColumn("bin", bin_).groupBy("gkey", "bin").agg(*sums)
     inner = chi2_quantile(KEEP_SHARE, d)
     consistency = KEEP_SHARE / chi2_cdf(inner, d + 2)
 
@@ -152,8 +162,8 @@ def _concentrate(model: DataFrame, stats: DataFrame) -> DataFrame:
     return moments.groupBy("gkey").applyInPandas(solve, MODEL)
 
 
-def _keyed(stats: DataFrame, n_groups: int) -> DataFrame:
-    """Adds gkey: the finest of (all groups), (the first), (none) that has MIN_GROUP rows."""
+def _keyed(stats: DataFrame, n_groups: int) -> tuple[DataFrame, int]:
+    """Adds gkey: the finest of (all groups), (the first), (none) that has MIN_GROUP rows; with a bound of their number."""
     names = [f"g{i}" for i in range(n_groups)]
     part = lambda i: F.concat(F.lit(f"{i}"), F.coalesce(F.concat(F.lit("="), F.col(f"g{i}")), F.lit("?")), F.lit("\x1f"))
     levels = [F.lit("all\x1f")]
@@ -166,12 +176,14 @@ def _keyed(stats: DataFrame, n_groups: int) -> DataFrame:
         exploded.select(*names, F.col("e.depth").alias("depth"), F.col("e.gkey").alias("gkey"))
         .join(big, "gkey").groupBy(*names).agg(F.max_by("gkey", "depth").alias("gkey"))
     )
-    best = best.select(*[F.col(n).alias(f"_{n}") for n in names], "gkey")
+    best = materialise(best.select(*[F.col(n).alias(f"_{n}") for n in names], "gkey"), "groups")
+    if (n := best.count()) <= MAX_BROADCAST_GROUPS:
+        best = F.broadcast(best)
     match = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
     on = match[0]
     for m in match[1:]:
         on = on & m
-    return stats.join(best, on).drop(*[f"_{n}" for n in names])
+    return stats.join(best, on).drop(*[f"_{n}" for n in names]), n
 
 
 def quality_rules(
@@ -179,7 +191,8 @@ def quality_rules(
 ) -> DataFrame:
     """One row per document: id, the counts, base_failed, distance (squared), kept."""
     d = len(DIMS)
-    stats = materialise(_keyed(materialise(text_statistics(docs, doc_id, text, list(groups)), "stats"), len(groups)), "stats-keyed")
+    keyed, n_groups = _keyed(materialise(text_statistics(docs, doc_id, text, list(groups)), "stats"), len(groups))
+    stats = materialise(keyed, "stats-keyed")
     quartiles = stats.groupBy("gkey").agg(*[F.percentile(f"v{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(d)])
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i] * QUANTUM)) for i in range(d)]
     model = quartiles.select(
@@ -188,9 +201,9 @@ def quality_rules(
         F.array(*[(1 / (spread[i] * spread[i])) if i == j else F.lit(0.0) for i in range(d) for j in range(d)]).alias("precision"),
     )
     for _ in range(STEPS):
-        model = _concentrate(model, stats)
+        model = _concentrate(model, stats, n_groups)
     model = materialise(model, "mcd")
-    judged = stats.join(model, "gkey").withColumn("distance", _distance(d))
+    judged = _with_model(stats, model, n_groups).withColumn("distance", _distance(d))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     return judged.select(
         F.col("doc_id").alias(doc_id), *COUNTS, base.alias("base_failed"), "distance",
