@@ -487,3 +487,19 @@ def test_pipeline_stages_return_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+
+
+def test_salted_estimates_agree_with_broadcast_ones(spark, monkeypatch):
+    rng = random.Random(10)
+    docs = documents(spark, [(i, prose(rng, 60 + rng.randrange(200), 4000)) for i in range(130)])
+    told = {r.doc_id: (r.kept, round(r.distance, 6)) for r in quality_rules.quality_rules(docs).collect()}
+    monkeypatch.setattr(quality_rules, "MAX_BROADCAST_GROUPS", 0)
+    assert {r.doc_id: (r.kept, round(r.distance, 6)) for r in quality_rules.quality_rules(docs).collect()} == told
+
+
+def test_large_id_sets_are_joined_by_a_shuffle(spark, monkeypatch):
+    docs = documents(spark, [(1, "a"), (2, "b"), (None, "c"), (2, "d")])
+    ids = spark.createDataFrame([(2,), (None,)], "doc_id long")
+    small = sorted(r.text for r in common.without_ids(docs, ids).collect())
+    monkeypatch.setattr(common, "MAX_BROADCAST_IDS", 0)
+    assert sorted(r.text for r in common.without_ids(docs, ids).collect()) == small == ["a", "c"]
