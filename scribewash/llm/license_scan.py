@@ -26,6 +26,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 UNKNOWN = "unknown"
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bound of the broadcast weight table.
@@ -253,6 +255,7 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     classes, weights, biases = train()
     lines = docs.where(F.col(text).rlike(ANCHOR_RE)).select(F.col(doc_id).alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "p"))
     found = lines.where(F.col("p").rlike(ANCHOR_RE)).select("id", "paragraph", _words(F.col("p")).alias("words")).dropDuplicates(["id", "paragraph"])
+    found = materialise(found, "licence-lines")  # used four times; small against the texts
 
     features = F.array_distinct(F.concat(F.col("words"), _ngrams(F.col("words"), 2), _ngrams(F.col("words"), 3)))
     exploded = found.select("id", "paragraph", F.explode(features).alias("f"))
