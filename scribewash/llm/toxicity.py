@@ -212,8 +212,18 @@ class Model:
         return score
 
 
+def _kept_features(sample: list[tuple[int, bytes]]) -> list[tuple[int, set[str]]]:
+    """Features of the sample, one string each in memory; those of one or two texts can decide nothing and go,
+    but for the fixed voters'."""
+    count = Counter(s for _, t in sample for s in features(t))
+    fixed = {f"={w.decode()}" for w in _WHOLE}
+    held = {s: s for s, c in count.items() if c >= 3 or s in fixed or s[0] in "?~"}
+    del count
+    return [(int(y), {held[s] for s in features(t) if s in held}) for y, t in sample]
+
+
 def fit(sample: list[tuple[int, bytes]], prior: float) -> Model:
-    rows = [(int(y), features(t)) for y, t in sample]
+    rows = _kept_features(sample)
     voters = Voters(rows)
     votes = np.array([voters.votes(f) for _, f in rows], float).reshape(len(rows), len(voters.sets) + 1)
     labels = np.array([y for y, _ in rows], int)
