@@ -4,7 +4,9 @@ Texts become tokens; numbers, names and units become typed placeholders, other w
 and stripped of punctuation. Windows of five template tokens are hashed and joined with those of the
 benchmark. A document is reported for an item if it holds four fifths of the item's windows, or a run
 of thirteen tokens in a row, and the slots agree: each value of the item stands for one value in the
-document, so that a question with other numbers or names is caught, a chance template is not.
+document, so that a question with other numbers or names is caught, a chance template is not. Slots are
+compared within one place: a pair is reported if any of its alignments (a run, a verbatim run, one offset,
+offsets that differ by at most SHIFT, the whole document) passes, so that no other place can veto it.
 
 Only windows whose hash may be in the benchmark leave the scan: they are looked up in a bit map of fixed
 size, which lets too many through if the benchmark is huge, but never too few. The join then decides.
@@ -32,6 +34,8 @@ from .common import materialise, utf8
 
 WINDOW, SIMILARITY, RUN_TOKENS, CONSISTENCY = 5, 0.8, 13, 0.8
 MIN_WORDS = 2
+#: Offsets of one alignment differ from its centre by this at most: words lost or put in.
+SHIFT = 4
 FILTER_BITS = 24
 #: Tokens that a task remembers.
 CACHE_TOKENS = 120_000
@@ -186,35 +190,54 @@ def decontaminate(
     found = _windows(docs, doc_id, text, benchmark_filter(bench)).select(F.col("id").alias("doc"), "at", "h", "slots")
     hits = materialise(found.join(items, "h"), "hits")
     pair = ["doc", "item"]
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in pair]
+    both = same[0] & same[1]
 
+    # No alignment holds more windows, or a longer run, than all places together: other pairs go first.
     on_line = hits.select(*pair, "item_at", (F.col("at") - F.col("item_at")).alias("line")).distinct()
     order = W.partitionBy(*pair, "line").orderBy("item_at")  # an item's windows at most
     runs = on_line.withColumn("island", F.col("item_at") - F.row_number().over(order)).groupBy(*pair, "line", "island").agg(F.count(F.lit(1)).alias("n"))
     longest = runs.groupBy(*pair).agg((F.max("n") + WINDOW - 1).alias("run"))
-
     held = hits.groupBy(*pair).agg(F.count_distinct("item_at").alias("n_held"), F.max("n_windows").alias("n_windows"))
-    values = hits.select(*pair, F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("s"))
-    values = values.select(*pair, F.col("s.a").alias("a"), F.col("s.b").alias("b")).distinct()
-    slots = values.groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("n_slots"),
-        F.least(F.count_distinct("a"), F.count_distinct("b")).alias("n_one"),
-        F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("equal"),
+    told = held.alias("l").join(longest.alias("r"), both).select("l.*", "r.run")
+    told = told.where((F.col("n_held") / F.col("n_windows") >= SIMILARITY) | (F.col("run") >= RUN_TOKENS))
+
+    near = hits.select(*pair, "item_at", (F.col("at") - F.col("item_at")).alias("line"), "item_slots", "slots").distinct()
+    near = near.alias("l").join(told.alias("r"), both).select("l.*", "r.n_windows").withColumn("verbatim", F.col("item_slots") == F.col("slots"))
+    of_line, of_copy = W.partitionBy(*pair, "line").orderBy("item_at"), W.partitionBy(*pair, "line", "verbatim").orderBy("item_at")
+    near = near.withColumn("island", F.col("item_at") - F.dense_rank().over(of_line)).withColumn("copied", F.col("item_at") - F.dense_rank().over(of_copy))
+    length = lambda *by: F.max("item_at").over(W.partitionBy(*pair, "line", *by)) - F.min("item_at").over(W.partitionBy(*pair, "line", *by)) + WINDOW
+    near = materialise(near.withColumn("run", length("island")).withColumn("copy_run", length("verbatim", "copied")), "near")
+
+    # Members of every alignment: (way, where); "offsets" takes for each window of the item its hits nearest to the centre.
+    place = lambda way, where, run="run": F.struct(F.lit(way).alias("way"), where.alias("where"), F.col(run).alias("run"))
+    at = lambda *cols: F.concat_ws(" ", *cols)
+    places = F.array(
+        place("document", F.lit("")),
+        place("offset", at("line")),
+        F.when(F.col("run") >= RUN_TOKENS, place("run", at("line", "island"))),
+        F.when(F.col("verbatim") & (F.col("copy_run") >= RUN_TOKENS), place("copy", at("line", "copied"), "copy_run")),
     )
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in pair]
-
-    def meet(left: DataFrame, right: DataFrame, how: str, cols: list[str]) -> DataFrame:
-        return left.alias("l").join(right.alias("r"), same[0] & same[1], how).select("l.*", *[F.col(f"r.{c}") for c in cols])
-
-    told = meet(held, longest, "inner", ["run"])
-    told = meet(told, slots, "left", ["n_slots", "n_one", "equal"])
+    columns = [*pair, "n_windows", "item_at", "item_slots", "slots"]
+    members = near.select(*columns, F.explode(F.filter(places, lambda x: x.isNotNull())).alias("p")).select(*columns, "p.*")
+    centred = near.select(*columns, "line", "run", F.explode(F.sequence(F.col("line") - SHIFT, F.col("line") + SHIFT)).alias("centre"))
+    centred = centred.withColumn("away", F.abs(F.col("line") - F.col("centre")))
+    centred = centred.withColumn("least", F.min("away").over(W.partitionBy(*pair, "centre", "item_at"))).where("away = least")
+    members = members.unionByName(centred.select(*columns, F.lit("offsets").alias("way"), at("centre").alias("where"), "run"))
+
+    one = [*pair, "way", "where"]
+    values = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))))
+    ways = members.groupBy(*one).agg(F.count_distinct("item_at").alias("n_held"), F.max("n_windows").alias("n_windows"), F.max("run").alias("run"), values.alias("s"))
+    distinct = lambda x: F.size(F.array_distinct(F.col(f"s.{x}")))
+    consistency = F.when(F.size("s") == 0, 1.0).otherwise(F.least(distinct("a"), distinct("b")) / F.size("s"))
     share = F.col("n_held") / F.col("n_windows")
-    consistency = F.coalesce(F.col("n_one") / F.col("n_slots"), F.lit(1.0))
-    return told.where(((share >= SIMILARITY) | (F.col("run") >= RUN_TOKENS)) & (consistency >= CONSISTENCY)).select(
-        F.col("doc").alias(doc_id),
-        F.col("item").alias(item_id),
-        share.alias("share"),
-        F.col("run").cast("long").alias("run_tokens"),
-        F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
-        consistency.alias("consistency"),
-        F.when(F.coalesce("equal", F.lit(True)), "exact").otherwise("reparameterised").alias("kind"),
-    )
+    ways = ways.select(
+        *pair, share.alias("share"), consistency.alias("consistency"), F.col("run").cast("long").alias("run_tokens"),
+        F.forall("s", lambda x: x["a"].eqNullSafe(x["b"])).alias("equal"), F.size("s").cast("long").alias("n_slots"),
+    )
+    passed = ways.where(((F.col("share") >= SIMILARITY) | (F.col("run_tokens") >= RUN_TOKENS)) & (F.col("consistency") >= CONSISTENCY))
+    best = passed.groupBy(*pair).agg(F.max(F.struct("share", "consistency", "equal", "run_tokens", "n_slots")).alias("m"))
+    return best.select(
+        F.col("doc").alias(doc_id), F.col("item").alias(item_id), "m.share", "m.run_tokens", "m.n_slots", "m.consistency",
+        F.when(F.col("m.equal"), "exact").otherwise("reparameterised").alias("kind"),
+    )

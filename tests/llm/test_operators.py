@@ -322,6 +322,25 @@ def test_short_items_and_empty_tables(spark):
     assert found(spark, ["two words here now then"], [(1, None), (2, "")]) == {}
 
 
+def test_other_places_do_not_veto_a_copy(spark):
+    rng = random.Random(13)
+    short = "the old mill by the river sold 12 sacks of the finest flour"
+    variant = short.replace("12", "31")
+    twice = "first we count 12 red balls here then we count 15 red balls here and stop"
+    split = ITEM.replace("travels", "then travels")
+    foreign = " we sold 77 sacks of the"  # a chance hit of the windows around a slot
+    texts = [
+        prose(rng, 30) + " . " + short + " . " + prose(rng, 30) + foreign + " finest grain",
+        prose(rng, 30) + " . " + short + " . " + prose(rng, 30) + " . " + variant,
+        prose(rng, 30) + " . " + twice,
+        prose(rng, 30) + " . " + split + " . " + prose(rng, 30) + " . " + ITEM.replace("120", "7").replace("80", "7").replace("45", "7").replace("9:30", "7"),
+        prose(rng, 30) + " . " + short.replace("12", "31") + foreign,
+    ]
+    got = found(spark, texts, [(7, ITEM), (8, short), (9, twice)])
+    assert set(got) == {(0, 8), (1, 8), (2, 9), (3, 7), (4, 8)}
+    assert {k: r.kind for k, r in got.items()} == {(0, 8): "exact", (1, 8): "exact", (2, 9): "exact", (3, 7): "exact", (4, 8): "reparameterised"}
+
+
 def test_windows_against_brute_force():
     """Many texts at once give what one at a time gives, and the token memory may overflow."""
     rng = random.Random(6)
