@@ -11,10 +11,13 @@ offsets that differ by at most SHIFT, the whole document) passes, so that no oth
 Only windows whose hash may be in the benchmark leave the scan: they are looked up in a bit map of fixed
 size, which lets too many through if the benchmark is huge, but never too few. The join then decides.
 
-Windows with fewer than two literal words are no evidence and are not counted on either side.
+Windows with fewer than two literal words are no evidence and are not counted on either side; an item
+without any other window is looked for by its exact tokens instead. An item of fewer than five tokens is
+one window; documents are then searched for windows of that length, too. A capitalised word is a name
+inside a sentence and a literal at its start: windows of documents are looked up in both readings of their
+first token, as an item may follow a heading or stand within a sentence.
 
-Defined results: null and empty texts have no windows and are never reported; a text of fewer than five
-tokens is one window; null ids take part as rows of a null id; repeated rows count once for an id; empty
+Defined results: null and empty texts have no windows and are never reported; null ids take part as rows of a null id; repeated rows count once for an id; empty
 tables give no rows; other columns are ignored.
 """
 
@@ -103,7 +106,7 @@ class Canon:
             self._reset()
         get, new = self.at.get, self._index
         idx = np.array([i if (i := get(t)) is not None else new(t) for t in tokens], np.int64)
-        rows = self.table[idx]
+        self.rows = rows = self.table[idx]
         first = np.ones(len(idx), bool)
         first[1:] = rows[:-1, 4] > 0
         first[starts] = True
@@ -138,32 +141,91 @@ def text_windows(canon: Canon, texts: list[list[bytes]]) -> Iterator[tuple[int,
             yield k, *window_hashes(codes, kinds, len(t)), kinds
 
 
-def _slots(tokens: list[bytes], kinds: np.ndarray, at: int) -> list[str]:
-    return [tokens[at + k].strip(_EDGES).decode("utf-8", "replace") for k in range(min(WINDOW, len(tokens))) if kinds[at + k] != LITERAL]
-
-
-_WINDOWS = "id long, n_windows int, at int, h long, slots array<string>"
-
-
-def _windows(rows: DataFrame, id_col: str, text: str, passing: np.ndarray | None) -> DataFrame:
-    """(id, n_windows, at, h, slots) of the windows; with ``passing`` only those whose bit is set there."""
+#: Added to the width of a window of exact tokens: it has no slots.
+EXACT = 16
+
+
+def _exact_hashes(tokens: list[bytes], w: int) -> np.ndarray:
+    codes = np.array([_code((t.strip(_EDGES) or t).decode("utf-8", "replace").lower().encode()) for t in tokens], np.uint64)
+    return window_hashes(codes, np.zeros(len(codes), np.uint8), w)[0] ^ np.uint64(0x5851F42D4C957F2D)
+
+
+def item_windows(canon: Canon, tokens: list[bytes]) -> tuple[int, list[tuple[int, int, int, list[int]]]]:
+    """(number of windows, (mode, position, hash, kinds) of each) of a benchmark item; mode: width, EXACT more if exact."""
+    w = min(WINDOW, len(tokens))
+    _, h, good, kinds = next(text_windows(canon, [tokens]))
+    if good.any():
+        at = np.flatnonzero(good).tolist()
+        return len(at), [(w, i, int(h[i]), kinds[i : i + w].tolist()) for i in at]
+    h = _exact_hashes(tokens, w)
+    return len(h), [(w + EXACT, i, x, [LITERAL] * w) for i, x in enumerate(h.tolist())]
+
+
+def document_windows(canon: Canon, texts: list[list[bytes]], modes: list[int], seen: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
+    """(text number, position, hash, kinds) of the windows of many documents whose bit is set in ``seen``."""
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes) - sizes
+    tokens = [t for x in texts for t in x]
+    if not tokens:
+        return
+    codes, kinds = canon(tokens, starts[sizes > 0])
+    rows = canon.rows
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(tokens))  # tokens up to the text's end
+    number = np.repeat(np.arange(len(texts)), sizes)
+    passes = lambda h: seen[h >> np.uint64(64 - FILTER_BITS)]
+    other = np.flatnonzero(kinds != rows[:, 0].astype(np.uint8))  # names that an item may start with
+
+    def told(at: int, h: int, k: list[int]) -> tuple[int, int, int, list[int]]:
+        return int(number[at]), at - int(starts[number[at]]), h, k
+
+    for mode in modes:
+        w = mode % EXACT
+        if mode > EXACT:
+            h = _exact_hashes(tokens, w)
+            for i in np.flatnonzero(passes(h) & (left[: len(h)] >= w)).tolist():
+                yield told(i, int(h[i]), [LITERAL] * w)
+            continue
+        h, good = window_hashes(codes, kinds, w)
+        for i in np.flatnonzero(good & passes(h) & (left[: len(h)] >= w)).tolist():
+            yield told(i, int(h[i]), kinds[i : i + w].tolist())
+        at = other[left[other] >= w]
+        h, words = np.full(len(at), w, np.uint64), np.zeros(len(at), np.uint8)
+        for k in range(w):
+            h = (h ^ (codes[at + k] if k else rows[at, 1])) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+            words += (kinds[at + k] if k else rows[at, 0]) == LITERAL
+        for j in np.flatnonzero((words >= min(MIN_WORDS, w)) & passes(h)).tolist():
+            i = int(at[j])
+            yield told(i, int(h[j]), [int(rows[i, 0]), *kinds[i + 1 : i + w].tolist()])
+
+
+def _slots(tokens: list[bytes], kinds: list[int], at: int) -> list[str]:
+    return [tokens[at + k].strip(_EDGES).decode("utf-8", "replace") for k, kind in enumerate(kinds) if kind != LITERAL]
+
+
+_WINDOWS = "id long, n_windows int, mode int, at int, h long, slots array<string>"
+
+
+def _windows(rows: DataFrame, id_col: str, text: str, passing: np.ndarray | None, modes: list[int] | None = None) -> DataFrame:
+    """(id, n_windows, mode, at, h, slots) of an item's windows; with ``passing`` those of documents whose bit is set there."""
     bits = None if passing is None else np.packbits(passing).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         seen = None if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for part in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             ids, texts = part.column(0).to_pylist(), [b.split() for b in part.column(1).to_pylist()]
-            for k, h, good, kinds in text_windows(canon, texts):
-                hit = good if seen is None else good & seen[h >> np.uint64(64 - FILTER_BITS)]
-                if hit.any():
-                    n = int(good.sum())
-                    for at in np.flatnonzero(hit).tolist():
-                        for col, v in zip(out, (ids[k], n, at, int(h[at].astype(np.int64)), _slots(texts[k], kinds, at))):
-                            col.append(v)
-            kinds_ = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds_)], names=["id", "n_windows", "at", "h", "slots"])
+            if seen is None:
+                items = [(k, *item_windows(canon, t)) for k, t in enumerate(texts) if t]
+                hits = ((k, n, *x) for k, n, windows in items for x in windows)
+            else:
+                hits = ((k, 0, 0, *x) for k, *x in document_windows(canon, texts, modes, seen))
+            for k, n, mode, at, h, kinds in hits:
+                for col, v in zip(out, (ids[k], n, mode, at, h - (1 << 64) if h >> 63 else h, _slots(texts[k], kinds, at))):
+                    col.append(v)
+            kinds_ = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds_)], names=["id", "n_windows", "mode", "at", "h", "slots"])
 
     picked = rows.select(F.col(id_col).cast("long").alias("id"), utf8(text).alias("_b"))
     return picked.mapInArrow(run, _WINDOWS)
@@ -187,7 +249,8 @@ def decontaminate(
     values, their consistency, and whether all slots are equal (kind: exact, or reparameterised)."""
     bench = materialise(_windows(benchmark, item_id, item_text, None), "bench")
     items = bench.select(F.col("id").alias("item"), "n_windows", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots")).distinct()
-    found = _windows(docs, doc_id, text, benchmark_filter(bench)).select(F.col("id").alias("doc"), "at", "h", "slots")
+    modes = sorted(r.mode for r in bench.select("mode").distinct().collect())
+    found = _windows(docs, doc_id, text, benchmark_filter(bench), modes).select(F.col("id").alias("doc"), "at", "h", "slots")
     hits = materialise(found.join(items, "h"), "hits")
     pair = ["doc", "item"]
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in pair]

@@ -341,6 +341,14 @@ def test_other_places_do_not_veto_a_copy(spark):
     assert {k: r.kind for k, r in got.items()} == {(0, 8): "exact", (1, 8): "exact", (2, 9): "exact", (3, 7): "exact", (4, 8): "reparameterised"}
 
 
+def test_short_and_slot_heavy_items_inside_documents(spark):
+    rng = random.Random(14)
+    items = [(1, "two words"), (2, "Berlin hosts old museums"), (3, "Where did Anna buy the bread"), (4, "12 km 30 Anna 45 Bob 7"), (5, "1999")]
+    around = lambda x: "\n".join([prose(rng, 15).replace(".", ""), x, prose(rng, 15)])
+    got = found(spark, [around(t) for _, t in items] + [around("12 km 30 Anna 46 Bob 8"), around("two sharp words")], items)
+    assert set(got) == {(i, item) for i, (item, _) in enumerate(items)}
+
+
 def test_windows_against_brute_force():
     """Many texts at once give what one at a time gives, and the token memory may overflow."""
     rng = random.Random(6)
