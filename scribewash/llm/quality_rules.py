@@ -70,7 +70,9 @@ def text_counts(b: bytes) -> tuple[int, ...]:
 
 def _vector(n: int, chars: int, symbols: int, dup: int, repeat: int, upper: int, lines: int) -> tuple[float, ...]:
     pct = lambda a, b: math.log1p(100 * a / max(b, 1))
-    raw = (math.log1p(n), math.log1p(chars / max(n, 1)), pct(symbols, chars), pct(dup, lines), pct(repeat, n), pct(upper, chars))
+    # Square roots: a logarithm of these two never gets as far from 0 as the cut, given their floors.
+    root = lambda a, b: math.sqrt(100 * a / max(b, 1))
+    raw = (math.log1p(n), math.log1p(chars / max(n, 1)), pct(symbols, chars), root(dup, lines), root(repeat, n), pct(upper, chars))
     return tuple(float(round(x * QUANTUM)) for x in raw)
 
 

@@ -257,6 +257,22 @@ def test_outliers_are_rejected_clean_documents_kept(spark):
     assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(20))
 
 
+def test_each_statistic_alone_rejects(spark):
+    rng = random.Random(15)
+    clean = [prose(rng, 150 + rng.randrange(150), 4000) for _ in range(300)]
+    words = [t.split() for t in clean[:6]]
+    planted = [
+        "\n".join(x for i in range(0, 144, 3) for x in (" ".join(words[0][i : i + 3]), "and")),  # repeated lines
+        " ".join(words[1][:80] + 8 * (words[1][80:88])),  # repeated words
+        " ".join(w + "$$$" for w in words[2]), " ".join(words[3]).upper(),
+        " ".join(w * 6 for w in words[4]), prose(rng, 20000, 4000),
+    ]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(documents(spark, list(enumerate(clean + planted)))).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert [i for i in range(300, 306) if got[i].kept or (i < 305 and got[i].base_failed)] == []
+    assert got[300].n_repeat_words == 0 and got[301].n_dup_lines == 0
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.95, 6) - 12.5916) < 1e-3
 
