@@ -376,31 +376,6 @@ def test_windows_against_brute_force():
         assert ([together[k]] if t else []) == alone
 
 
-# --- op5
-
-
-def test_licences(spark):
-    texts = [
-        "Some prose here.\nLicensed under the Apache License, Version 2.0.\nMore prose.", "Released under the MIT License.",
-        "He lost his driving license last year and had to take the bus.", "No such word at all.", None, "",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ]
-    rows = license_scan.license_scan(documents(spark, list(enumerate(texts)))).collect()
-    got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in rows}
-    assert got == {(0, 1): ("apache-2.0", True), (1, 0): ("mit", True), (2, 0): ("unknown", False), (6, 0): ("cc-by-nc", True)}
-    assert all(0 < r.probability <= 1 for r in rows)
-
-
-def test_licence_plan_has_no_python(spark):
-    plan = license_scan.license_scan(documents(spark, [(1, "license")]))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-
-
-def test_licence_words_split_alike(spark):
-    text = "Licensed under CC BY-NC 4.0, Version 12.10 Ünï"
-    assert spark.range(1).select(license_scan._words(F.lit(text))).first()[0] == license_scan.words_of(text)
-
-
 # --- op2, op4, op10: held-out accuracy
 
 
