@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,21 @@ def utf8(col: str | Column) -> Column:
     return F.coalesce(c.cast("string").cast("binary"), F.lit(b""))
 
 
+_BLANK = re.compile(rb"[\x20\t-\r]")
+
+
+def byte_parts(b: bytes, size: int) -> Iterator[bytes]:
+    """``b`` in parts of about ``size`` bytes, cut at ASCII blanks only: no word is torn, a longer one is in one part."""
+    at = 0
+    while len(b) - at > size:
+        hit = _BLANK.search(b, at + size)
+        end = hit.end() if hit else len(b)
+        yield b[at:end]
+        at = end
+    if at < len(b):
+        yield b[at:] if at else b
+
+
 def crc_mod(col: str | Column, n: int) -> Column:
     """crc32 of a column as text, modulo n; -1 for null."""
     c = F.col(col) if isinstance(col, str) else col

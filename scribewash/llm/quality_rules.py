@@ -3,16 +3,18 @@
 Every whole text gives base counts and a vector of transformed statistics. For each language and
 source a minimum-covariance-determinant estimate (centre and scatter of the tightest three quarters)
 is found by concentration steps; a document whose squared Mahalanobis distance passes the cut is
-rejected.
+rejected. The same is estimated for each language and for the table; a group's estimate is drawn towards
+its parent's (source to language to table) with the weight of ``PRIOR_ROWS`` rows against the group's own
+number: every group has an estimate of its own, a small one leans on its parent, at no size is there a switch.
 
 Scale: a concentration step is one aggregation of moments by (group, distance bin), combined before
 the shuffle, so a group with a third of all rows still sends at most one row per bin and task. The
 step's half-sample is "the nearest bins that hold three quarters", which needs no sort. The solver
-sees at most ``N_BINS`` rows a group.
+sees at most ``N_BINS`` rows a group. Long texts are read part by part.
 
 Defined results: a null text has no words; a text without words fails the base rules; null languages
-or sources form groups of their own; groups smaller than ``MIN_GROUP`` are judged by their language's
-estimate, or the table's; null or repeated ids are ordinary rows; an empty table gives no rows.
+or sources form groups of their own; null or repeated ids are ordinary rows; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +26,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8
+from .common import byte_parts, materialise, utf8
 
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
-SYMBOLS = b"#*$%&|<>"
+SYMBOLS, _BLANKS = b"#*$%&|<>", b"\x20\t\n\x0b\x0c\r"
 DIMS = ("log_words", "word_len", "symbol_pct", "dup_line_pct", "repeat_pct", "upper_pct")
 #: Spread that each statistic has at least: most texts have no symbol, no repeated line.
 FLOOR = (0.5, 0.10, 0.25, 1.0, 1.0, 0.35)
 #: Statistics are held in steps of 1/QUANTUM: their sums are then exact in doubles, in any order.
 QUANTUM = 1024
-KEEP_SHARE, STEPS, N_BINS, MIN_GROUP = 0.75, 4, 512, 100
+KEEP_SHARE, STEPS, N_BINS = 0.75, 4, 512
+#: Rows that a parent's estimate counts for.
+PRIOR_ROWS = 50
+#: Texts longer than this are read in parts of this size.
+PART_BYTES = 1 << 18
 #: Groups whose estimates are broadcast (some 400 bytes each); beyond, both sides are salted and shuffled.
 MAX_BROADCAST_GROUPS, SALTS = 10_000, 32
 #: The cut as the share of regular documents beyond it.
@@ -45,25 +52,82 @@ TAIL = 1e-5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _repeated_words(windows_twice: list[bool] | np.ndarray) -> int:
+    """Words in windows of three that are marked, by position."""
+    repeat = end = 0  # positions before end are counted
+    for i in np.flatnonzero(windows_twice).tolist():
+        repeat += i + 3 - max(i, end)
+        end = i + 3
+    return repeat
+
+
+def _twice(digests: bytes) -> np.ndarray:
+    """Which of the 16-byte digests occur more than once."""
+    parts = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    order = np.lexsort((parts[:, 1], parts[:, 0]))
+    same = (parts[order[1:]] == parts[order[:-1]]).all(axis=1)
+    out = np.zeros(len(parts), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
+def _long_counts(b: bytes) -> tuple[int, ...]:
+    """``text_counts`` of a long text: 16 bytes are held for each window and line, no words."""
+    n = chars = upper = n_lines = 0
+    windows, lines, carried, line = bytearray(), bytearray(), [], None
+    digest = xxhash.xxh3_128_digest
+    for part in byte_parts(b, PART_BYTES):
+        words = part.split()
+        n += len(words)
+        text = part.decode("utf-8", "replace")
+        chars += len(text) - (len(part) - len(part.translate(None, _BLANKS)))
+        upper += sum(map(str.isupper, text))
+        carried += words
+        for w in zip(carried, carried[1:], carried[2:]):
+            windows += digest(b" ".join(w))
+        carried = carried[-2:]
+        *full, rest = part.split(b"\n")
+        for x in full:
+            if line is not None:
+                line.update(x)
+                blank, told = blank and not x.strip(_BLANKS), line.digest()
+                line = None
+            else:
+                blank, told = not x.strip(_BLANKS), digest(x)
+            if not blank:
+                lines += told
+        if line is None:
+            line, blank = xxhash.xxh3_128(rest), not rest.strip(_BLANKS)
+        else:
+            line.update(rest)
+            blank = blank and not rest.strip(_BLANKS)
+    if not blank:
+        lines += line.digest()
+    n_lines = len(lines) // 16
+    rows = np.frombuffer(bytes(lines), np.uint64).reshape(-1, 2)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    dup = int((rows[1:] == rows[:-1]).all(axis=1).sum())
+    symbols = len(b) - len(b.translate(None, SYMBOLS))
+    return n, chars, symbols, dup, _repeated_words(_twice(bytes(windows))), upper, n_lines
+
+
 def text_counts(b: bytes) -> tuple[int, ...]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_lines of a whole text."""
+    if len(b) > PART_BYTES:
+        return _long_counts(b)
     words = b.split()  # exactly the six ASCII blanks
     n = len(words)
     text = b.decode("utf-8", "replace")
-    chars = len(text) - (len(b) - len(b.translate(None, b"\x20\t\n\x0b\x0c\r")))
+    chars = len(text) - (len(b) - len(b.translate(None, _BLANKS)))
     symbols = len(b) - len(b.translate(None, SYMBOLS))
-    lines = [x for x in b.split(b"\n") if x.strip(b"\x20\t\n\x0b\x0c\r")]
+    lines = [x for x in b.split(b"\n") if x.strip(_BLANKS)]
     dup = len(lines) - len(set(lines))
     repeat = 0
     if n >= 3:
         windows = list(zip(words, words[1:], words[2:]))
         seen = Counter(windows)
         if len(seen) < len(windows):
-            end = 0  # positions before it are counted
-            for i, w in enumerate(windows):
-                if seen[w] > 1:
-                    repeat += i + 3 - max(i, end)
-                    end = i + 3
+            repeat = _repeated_words([seen[w] > 1 for w in windows])
     upper = sum(map(str.isupper, text))
     return n, chars, symbols, dup, repeat, upper, len(lines)
 
@@ -125,17 +189,22 @@ def _distance(d: int) -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-MODEL = "gkey string, center array<double>, precision array<double>"
+MODEL = "gkey string, n double, center array<double>, scatter array<double>, precision array<double>"
 
 
 def _with_model(stats: DataFrame, model: DataFrame, n_groups: int) -> DataFrame:
     """Each document with its group's estimate; a group with a third of all rows does not meet in one task."""
+    model = model.select("gkey", "center", "precision")
     if n_groups <= MAX_BROADCAST_GROUPS:
         return stats.join(F.broadcast(model), "gkey")
-    salted = stats.withColumn("salt", F.pmod(F.xxhash64("doc_id", *[f"v{i}" for i in range(len(DIMS))]), F.lit(SALTS)).cast("int"))
+    salted = stats.withColumn("salt", F.pmod(F.xxhash64(*[f"v{i}" for i in range(len(DIMS))]), F.lit(SALTS)).cast("int"))
     return salted.join(model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["gkey", "salt"]).drop("salt")
 
 
+def _floor() -> np.ndarray:
+    return np.diag((np.array(FLOOR) * QUANTUM) ** 2)
+
+
 def _concentrate(model: DataFrame, stats: DataFrame, n_groups: int) -> DataFrame:
     """One concentration step: the centre and scatter of the nearest bins that hold KEEP_SHARE."""
     d = len(DIMS)
@@ -151,51 +220,32 @@ def _concentrate(model: DataFrame, stats: DataFrame, n_groups: int) -> DataFrame
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
-        upto = int(np.searchsorted(pdf["n"].cumsum().to_numpy(), math.ceil(KEEP_SHARE * pdf["n"].sum()) - 0.5)) + 1
+        rows = float(pdf["n"].sum())
+        upto = int(np.searchsorted(pdf["n"].cumsum().to_numpy(), math.ceil(KEEP_SHARE * rows) - 0.5)) + 1
         total = pdf.drop(columns=["gkey", "bin"]).iloc[:upto].sum()
         n, mean = total["n"], np.array([total[f"s{i}"] for i in range(d)]) / total["n"]
         scatter = np.zeros((d, d))
         for i, j in pairs:
             scatter[i, j] = scatter[j, i] = total[f"s{i}_{j}"] / n - mean[i] * mean[j]
-        scatter = scatter * consistency + np.diag((np.array(FLOOR) * QUANTUM) ** 2)
-        precision = np.linalg.inv(scatter)
-        return pd.DataFrame({"gkey": [pdf["gkey"].iloc[0]], "center": [mean], "precision": [precision.ravel()]})
+        scatter = scatter * consistency + _floor()
+        return pd.DataFrame({"gkey": [pdf["gkey"].iloc[0]], "n": [rows], "center": [mean], "scatter": [scatter.ravel()], "precision": [np.linalg.inv(scatter).ravel()]})
 
     return moments.groupBy("gkey").applyInPandas(solve, MODEL)
 
 
-def _keyed(stats: DataFrame, n_groups: int) -> tuple[DataFrame, int]:
-    """Adds gkey: the finest of (all groups), (the first), (none) that has MIN_GROUP rows; with a bound of their number."""
-    names = [f"g{i}" for i in range(n_groups)]
+def _keys(stats: DataFrame, n_groups: int) -> list[Column]:
+    """The keys of a row's groups: the table, the first column, the first two and so on."""
     part = lambda i: F.concat(F.lit(f"{i}"), F.coalesce(F.concat(F.lit("="), F.col(f"g{i}")), F.lit("?")), F.lit("\x1f"))
-    levels = [F.lit("all\x1f")]
+    keys = [F.lit("all\x1f")]
     for i in range(n_groups):
-        levels.append(F.concat(levels[-1], part(i)))
-    sized = stats.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    exploded = sized.select(*names, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("depth"), lv.alias("gkey")) for k, lv in enumerate(levels)])).alias("e"))
-    big = exploded.groupBy("e.gkey").agg(F.sum("n").alias("n")).where((F.col("n") >= MIN_GROUP) | (F.col("gkey") == "all\x1f")).select("gkey")
-    best = (
-        exploded.select(*names, F.col("e.depth").alias("depth"), F.col("e.gkey").alias("gkey"))
-        .join(big, "gkey").groupBy(*names).agg(F.max_by("gkey", "depth").alias("gkey"))
-    )
-    best = materialise(best.select(*[F.col(n).alias(f"_{n}") for n in names], "gkey"), "groups")
-    if (n := best.count()) <= MAX_BROADCAST_GROUPS:
-        best = F.broadcast(best)
-    match = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
-    on = match[0]
-    for m in match[1:]:
-        on = on & m
-    return stats.join(best, on).drop(*[f"_{n}" for n in names]), n
+        keys.append(F.concat(keys[-1], part(i)))
+    return keys
 
 
-def quality_rules(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source")
-) -> DataFrame:
-    """One row per document: id, the counts, base_failed, distance (squared), kept."""
+def mcd(members: DataFrame, n_groups: int) -> DataFrame:
+    """(gkey, n, center, scatter, precision): the estimate of each group of rows (gkey, v0 ...)."""
     d = len(DIMS)
-    keyed, n_groups = _keyed(materialise(text_statistics(docs, doc_id, text, list(groups)), "stats"), len(groups))
-    stats = materialise(keyed, "stats-keyed")
-    quartiles = stats.groupBy("gkey").agg(*[F.percentile(f"v{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(d)])
+    quartiles = members.groupBy("gkey").agg(*[F.percentile(f"v{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(d)])
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i] * QUANTUM)) for i in range(d)]
     model = quartiles.select(
         "gkey",
@@ -203,8 +253,48 @@ def quality_rules(
         F.array(*[(1 / (spread[i] * spread[i])) if i == j else F.lit(0.0) for i in range(d) for j in range(d)]).alias("precision"),
     )
     for _ in range(STEPS):
-        model = _concentrate(model, stats, n_groups)
-    model = materialise(model, "mcd")
+        model = _concentrate(model, members, n_groups)
+    return model
+
+
+def shrunk(model: DataFrame, groups: DataFrame, depths: int) -> DataFrame:
+    """(gkey, center, precision) of the deepest groups, each estimate drawn towards its parent's.
+
+    groups: (gkey, parent, depth), a row for each group.
+    """
+    d = len(DIMS)
+    known = model.join(groups, "gkey")
+    towards = lambda c: F.zip_with(c, f"parent_{c}", lambda x, y: (F.col("n") * x + PRIOR_ROWS * y) / (F.col("n") + PRIOR_ROWS))
+    level = known.where("depth = 0").select("gkey", "center", "scatter")
+    for depth in range(1, depths + 1):
+        parents = level.select(F.col("gkey").alias("parent"), F.col("center").alias("parent_center"), F.col("scatter").alias("parent_scatter"))
+        level = known.where(F.col("depth") == depth).join(parents, "parent").select("gkey", towards("center").alias("center"), towards("scatter").alias("scatter"))
+
+    def inverse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            precision = [np.linalg.inv(np.asarray(x).reshape(d, d)).ravel() for x in pdf["scatter"]]
+            yield pd.DataFrame({"gkey": pdf["gkey"], "center": pdf["center"], "precision": precision})
+
+    return level.mapInPandas(inverse, "gkey string, center array<double>, precision array<double>")
+
+
+def quality_rules(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source")
+) -> DataFrame:
+    """One row per document: id, the counts, base_failed, distance (squared), kept."""
+    d, depths = len(DIMS), len(groups)
+    stats = materialise(text_statistics(docs, doc_id, text, list(groups)), "stats")
+    keys = _keys(stats, depths)
+    stats = stats.withColumn("gkey", keys[-1])
+    parents = [F.lit(None).cast("string"), *keys[:-1]]
+    names = [f"g{i}" for i in range(depths)]
+    chain = F.array(*[F.struct(k.alias("gkey"), p.alias("parent"), F.lit(i).alias("depth")) for i, (k, p) in enumerate(zip(keys, parents))])
+    seen = stats.groupBy(*names).agg(F.lit(1).alias("one")) if names else stats.limit(1)
+    tree = materialise(seen.select(F.explode(chain).alias("k")).select("k.*").distinct(), "groups")
+    n_groups = tree.count()
+    members = stats.select(F.explode(F.array(*keys)).alias("gkey"), *[f"v{i}" for i in range(d)])
+    model = materialise(mcd(members, n_groups), "mcd")
+    model = materialise(shrunk(model, tree, depths), "estimates")
     judged = _with_model(stats, model, n_groups).withColumn("distance", _distance(d))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     return judged.select(
