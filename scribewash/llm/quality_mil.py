@@ -6,8 +6,8 @@ a gated attention learns from the document labels how much each passage counts;
 passages' representations is scored.
 
 Fitting: plain gradient descent (Adam) on the driver, at most ``2 * PER_LABEL`` documents of each label,
-chosen by a hash of the text. Scoring: one pass, no shuffle, whole texts, memory bounded by the passages
-of one document.
+chosen by a hash of the text. Scoring: one pass, no shuffle, whole texts; features are counted part by part,
+and what is held of a long text is one row of WIDTH floats for each passage: a fraction over its own bytes.
 
 Defined results: null and empty texts are a bag of one passage without bytes; without any label every
 score is 0.5; null ids and repeated rows are ordinary rows; an empty table gives no rows; other columns
@@ -30,7 +30,8 @@ PER_LABEL = 800
 PASSAGE, LAGS = 512, tuple(range(2, 18))
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 24, 16, 40, 64, 0.01, 1e-4
 THRESHOLD = 0.3
-PART_BYTES = 1 << 20
+#: Bytes of texts whose passages are scored at once; passages whose features are counted at once.
+PART_BYTES, PART_PASSAGES = 1 << 20, 1 << 10
 
 
 def _classes() -> tuple[np.ndarray, int]:
@@ -60,24 +61,32 @@ WIDTH = N_CLASSES + 9 * 9 + len(LAGS) + 1
 
 
 def passage_features(body: np.ndarray) -> np.ndarray:
-    """One row of features for each PASSAGE bytes of a text."""
+    """One row of features for each PASSAGE bytes of a text, PART_PASSAGES at a time."""
     n = max(1, -(-len(body) // PASSAGE))
     out = np.zeros((n, WIDTH), np.float32)
-    if not len(body):
-        return out
-    at = np.arange(len(body)) // PASSAGE
-    size = np.bincount(at, minlength=n).astype(np.float32)
-    cls = CLASS[body]
-    out[:, :N_CLASSES] = np.bincount(at * N_CLASSES + cls, minlength=n * N_CLASSES).reshape(n, -1) / size[:, None]
-    rough = COARSE[cls]
-    pairs = np.bincount(at[1:] * 81 + rough[:-1] * 9 + rough[1:], minlength=n * 81).reshape(n, -1) / size[:, None]
-    out[:, N_CLASSES : N_CLASSES + 81] = pairs
-    for k, lag in enumerate(LAGS):
-        if len(body) > lag:
-            same = np.bincount(at[lag:], weights=body[lag:] == body[:-lag], minlength=n)
-            out[:, N_CLASSES + 81 + k] = same / size
-    out = np.sqrt(out)
-    out[:, -1] = np.log1p(size) / 8
+    back = max(LAGS)
+    for first in range(0, n if len(body) else 0, PART_PASSAGES):
+        rows = min(PART_PASSAGES, n - first)
+        begin, end = first * PASSAGE, min(len(body), (first + rows) * PASSAGE)
+        before = min(begin, back)  # bytes that the part's own are compared with
+        part = body[begin - before : end]
+        own = part[before:]
+        at = np.arange(len(own), dtype=np.int32) // PASSAGE
+        size = np.bincount(at, minlength=rows).astype(np.float32)
+        cls = CLASS[part]
+        f = out[first : first + rows]
+        f[:, :N_CLASSES] = np.bincount(at * N_CLASSES + cls[before:], minlength=rows * N_CLASSES).reshape(rows, -1) / size[:, None]
+        rough = COARSE[cls]
+        skip = 0 if before else 1  # the text's first byte follows none
+        pairs = at[skip:] * 81 + rough[before + skip - 1 : len(part) - 1] * 9 + rough[before + skip :]
+        f[:, N_CLASSES : N_CLASSES + 81] = np.bincount(pairs, minlength=rows * 81).reshape(rows, -1) / size[:, None]
+        for k, lag in enumerate(LAGS):
+            skip = max(0, lag - before)
+            if len(own) > skip:
+                same = own[skip:] == part[before + skip - lag : len(part) - lag]
+                f[:, N_CLASSES + 81 + k] = np.bincount(at[skip:], weights=same, minlength=rows) / size
+        np.sqrt(f, out=f)
+        f[:, -1] = np.log1p(size) / 8
     return out
 
 
