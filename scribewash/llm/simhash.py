@@ -28,17 +28,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8
+from .common import byte_parts, materialise, utf8
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 CELL_MAX = 48
-#: Shingle hashes whose bits are counted at once: bounds a task's memory, not a text's length.
-BLOCK = 1 << 17
+#: Shingle hashes whose bits are counted at once, bytes of a text whose words are held at once: bounds of a
+#: task's memory, not of a text's length.
+BLOCK, PART_BYTES = 1 << 17, 1 << 18
 BANDS = ((0, 14), (14, 14), (28, 12), (40, 12), (52, 12))
 
 
-def _hashes(b: bytes, n: int) -> list[int]:
-    words = b.lower().split()
+def _hashes(words: list[bytes], n: int) -> list[int]:
+    """Of the shingles of a word sequence."""
     if not words:
         return []
     if len(words) <= n:
@@ -55,13 +56,24 @@ def _majority(counts: np.ndarray, n: int) -> int:
 
 
 def fingerprint(b: bytes, n: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one text."""
-    hashes = _hashes(b, n)
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), BLOCK):
-        raw = np.array(hashes[k : k + BLOCK], dtype=">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-    return _majority(counts, len(hashes)) if hashes else 0
+    """The unsigned fingerprint of one text, read part by part."""
+    counts, total, carried = np.zeros(64, np.int64), 0, []
+
+    def count(hashes: list[int]) -> None:
+        nonlocal total
+        total += len(hashes)
+        for k in range(0, len(hashes), BLOCK):
+            raw = np.array(hashes[k : k + BLOCK], dtype=">u8").view(np.uint8).reshape(-1, 8)
+            counts[:] += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+
+    for part in byte_parts(b, PART_BYTES):
+        carried += part.lower().split()
+        if len(carried) >= n:
+            count(_hashes(carried, n))
+            carried = carried[len(carried) - n + 1 :] if n > 1 else []
+    if not total:
+        count(_hashes(carried, n))
+    return _majority(counts, total) if total else 0
 
 
 def _fingerprints(texts: list[bytes], n: int) -> np.ndarray:
@@ -80,9 +92,9 @@ def _fingerprints(texts: list[bytes], n: int) -> np.ndarray:
         held.clear(), starts.clear(), docs.clear()
 
     for k, b in enumerate(texts):
-        if len(b) > 4 * BLOCK:
+        if len(b) > PART_BYTES:
             out[k] = fingerprint(b, n)
-        elif hashes := _hashes(b, n):
+        elif hashes := _hashes(b.lower().split(), n):
             docs.append(k), starts.append(len(held)), held.extend(hashes)
             if len(held) > BLOCK:
                 flush()
