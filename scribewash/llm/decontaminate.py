@@ -14,17 +14,21 @@ size, which lets too many through if the benchmark is huge, but never too few. T
 Windows with fewer than two literal words are no evidence and are not counted on either side; an item
 without any other window is looked for by its exact tokens instead. An item of fewer than five tokens is
 one window; documents are then searched for windows of that length, too. A capitalised word is a name
-inside a sentence and a literal at its start: windows of documents are looked up in both readings of their
-first token, as an item may follow a heading or stand within a sentence.
+wherever it stands, at the start of a sentence, too (words all in capitals are literals), so that a token's
+kind depends on nothing but itself, but for unit words: they are units only after a number.
 
-Defined results: null and empty texts have no windows and are never reported; null ids take part as rows of a null id; repeated rows count once for an id; empty
-tables give no rows; other columns are ignored.
+Long texts are read part by part, with the tokens before a part as its context.
+
+Defined results: null and empty texts have no windows and are never reported; null ids take part as rows of
+a null id; repeated rows count once for an id; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, utf8
+from .common import byte_parts, materialise, utf8
 
 WINDOW, SIMILARITY, RUN_TOKENS, CONSISTENCY = 5, 0.8, 13, 0.8
 MIN_WORDS = 2
 #: Offsets of one alignment differ from its centre by this at most: words lost or put in.
 SHIFT = 4
 FILTER_BITS = 24
-#: Tokens that a task remembers.
-CACHE_TOKENS = 120_000
+#: Tokens that a task remembers; bytes of a text that are split at once, tokens whose windows are formed at once.
+CACHE_TOKENS, PART_BYTES, PART_TOKENS = 120_000, 1 << 18, 1 << 16
 
 # Unit words and symbols.
 UNITS = frozenset(
@@ -54,33 +58,32 @@ _NUMBER = re.compile(rb"[+-]?[$\xc2\xa3\xe2\x82\xac]*\d[\d.,:/]*%?\Z")
 _MEASURE = re.compile(rb"([+-]?\d[\d.,]*)([A-Za-z]+)\Z")
 _EDGES = b"\"'()[]{}<>.,;:!?*#|&$-_/\\`~=+"
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
+#: A literal that is a unit after a number.
+UNIT_WORD = 4
 _CODES = {NUM: b"\x00num", UNIT: b"\x00unit", NAME: b"\x00name"}
 
 
 _code = xxhash.xxh64_intdigest
 _PLAIN = re.compile(rb"[a-z]+[.,!?:;]?\Z")
-_ENDS = (b".", b"!", b"?", b":")
 
 
-def token_kinds(token: bytes) -> tuple[int, int, int, int, bool]:
-    """(kind and code at a sentence's start, kind and code inside a sentence, whether it ends a sentence)."""
-    ends = token.endswith(_ENDS)
-    if _PLAIN.match(token) and (core := token.rstrip(b".,!?:;")) not in UNITS:
-        literal = _code(core)
-        return LITERAL, literal, LITERAL, literal, ends
+def token_kind(token: bytes) -> tuple[int, int]:
+    """(kind, code) of a token by itself."""
+    if _PLAIN.match(token):
+        core = token.rstrip(b".,!?:;")
+        return (UNIT_WORD if core in UNITS else LITERAL), _code(core)
     core = token.strip(_EDGES) or token
     text = core.decode("utf-8", "replace")
     low = text.lower().encode()
     if _NUMBER.match(core):
-        kind = NUM
-    elif low in UNITS or ((m := _MEASURE.match(core)) and m[2].lower() in UNITS):
-        kind = UNIT
-    else:
-        literal = _code(low)
-        if text[:1].isupper() and not (len(text) > 1 and text.isupper()):
-            return LITERAL, literal, NAME, _code(_CODES[NAME]), ends
-        return LITERAL, literal, LITERAL, literal, ends
-    return kind, _code(_CODES[kind]), kind, _code(_CODES[kind]), ends
+        return NUM, _code(_CODES[NUM])
+    if low in UNITS:
+        return UNIT_WORD, _code(low)
+    if (m := _MEASURE.match(core)) and m[2].lower() in UNITS:
+        return UNIT, _code(_CODES[UNIT])
+    if text[:1].isupper() and not (len(text) > 1 and text.isupper()):
+        return NAME, _code(_CODES[NAME])
+    return LITERAL, _code(low)
 
 
 class Canon:
@@ -91,13 +94,14 @@ class Canon:
 
     def _reset(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.table = np.zeros((CACHE_TOKENS, 5), np.uint64)
+        self.codes, self.kinds = np.zeros(CACHE_TOKENS, np.uint64), np.zeros(CACHE_TOKENS, np.uint8)
 
     def _index(self, token: bytes) -> int:
         i = self.at[token] = len(self.at)
-        if i >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((len(self.table) // 2, 5), np.uint64)])
-        self.table[i] = token_kinds(token)
+        if i >= len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros(len(self.codes) // 2, np.uint64)])
+            self.kinds = np.concatenate([self.kinds, np.zeros(len(self.codes) - len(self.kinds), np.uint8)])
+        self.kinds[i], self.codes[i] = token_kind(token)
         return i
 
     def __call__(self, tokens: list[bytes], starts: list[int] | np.ndarray = (0,)) -> tuple[np.ndarray, np.ndarray]:
@@ -106,11 +110,14 @@ class Canon:
             self._reset()
         get, new = self.at.get, self._index
         idx = np.array([i if (i := get(t)) is not None else new(t) for t in tokens], np.int64)
-        self.rows = rows = self.table[idx]
-        first = np.ones(len(idx), bool)
-        first[1:] = rows[:-1, 4] > 0
-        first[starts] = True
-        return np.where(first, rows[:, 1], rows[:, 3]), np.where(first, rows[:, 0], rows[:, 2]).astype(np.uint8)
+        codes, kinds = self.codes[idx], self.kinds[idx]
+        after = np.zeros(len(idx), bool)
+        after[1:] = kinds[:-1] == NUM
+        after[np.asarray(starts, np.int64)] = False
+        word = kinds == UNIT_WORD
+        kinds[word] = LITERAL
+        codes[word & after], kinds[word & after] = _code(_CODES[UNIT]), UNIT
+        return codes, kinds
 
 
 def window_hashes(codes: np.ndarray, kinds: np.ndarray, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -125,22 +132,6 @@ def window_hashes(codes: np.ndarray, kinds: np.ndarray, w: int = WINDOW) -> tupl
     return h, words >= min(MIN_WORDS, w)
 
 
-def text_windows(canon: Canon, texts: list[list[bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, hash, evidence, kinds) of every text with a token, many texts at a time."""
-    full = [k for k, t in enumerate(texts) if len(t) >= WINDOW]
-    if full:
-        sizes = np.array([len(texts[k]) for k in full])
-        starts = np.cumsum(sizes) - sizes
-        codes, kinds = canon([t for k in full for t in texts[k]], starts)
-        h, good = window_hashes(codes, kinds)
-        for k, a, n in zip(full, starts.tolist(), sizes.tolist()):
-            yield k, h[a : a + n - WINDOW + 1], good[a : a + n - WINDOW + 1], kinds[a : a + n]
-    for k, t in enumerate(texts):
-        if 0 < len(t) < WINDOW:
-            codes, kinds = canon(t)
-            yield k, *window_hashes(codes, kinds, len(t)), kinds
-
-
 #: Added to the width of a window of exact tokens: it has no slots.
 EXACT = 16
 
@@ -153,7 +144,8 @@ def _exact_hashes(tokens: list[bytes], w: int) -> np.ndarray:
 def item_windows(canon: Canon, tokens: list[bytes]) -> tuple[int, list[tuple[int, int, int, list[int]]]]:
     """(number of windows, (mode, position, hash, kinds) of each) of a benchmark item; mode: width, EXACT more if exact."""
     w = min(WINDOW, len(tokens))
-    _, h, good, kinds = next(text_windows(canon, [tokens]))
+    codes, kinds = canon(tokens)
+    h, good = window_hashes(codes, kinds, w)
     if good.any():
         at = np.flatnonzero(good).tolist()
         return len(at), [(w, i, int(h[i]), kinds[i : i + w].tolist()) for i in at]
@@ -161,42 +153,45 @@ def item_windows(canon: Canon, tokens: list[bytes]) -> tuple[int, list[tuple[int
     return len(h), [(w + EXACT, i, x, [LITERAL] * w) for i, x in enumerate(h.tolist())]
 
 
-def document_windows(canon: Canon, texts: list[list[bytes]], modes: list[int], seen: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
-    """(text number, position, hash, kinds) of the windows of many documents whose bit is set in ``seen``."""
-    sizes = np.array([len(t) for t in texts])
-    starts = np.cumsum(sizes) - sizes
-    tokens = [t for x in texts for t in x]
-    if not tokens:
-        return
-    codes, kinds = canon(tokens, starts[sizes > 0])
-    rows = canon.rows
-    left = np.repeat(starts + sizes, sizes) - np.arange(len(tokens))  # tokens up to the text's end
-    number = np.repeat(np.arange(len(texts)), sizes)
-    passes = lambda h: seen[h >> np.uint64(64 - FILTER_BITS)]
-    other = np.flatnonzero(kinds != rows[:, 0].astype(np.uint8))  # names that an item may start with
-
-    def told(at: int, h: int, k: list[int]) -> tuple[int, int, int, list[int]]:
-        return int(number[at]), at - int(starts[number[at]]), h, k
+class Part(NamedTuple):
+    """Tokens of a text from number ``first`` on; the first ``known`` are context and belong to the part before."""
+
+    row: int
+    first: int
+    known: int
+    tokens: list[bytes]
 
+
+def text_parts(row: int, body: bytes) -> Iterator[Part]:
+    before, n = [], 0
+    for piece in byte_parts(body, PART_BYTES):
+        if own := piece.split():
+            yield Part(row, n - len(before), len(before), before + own)
+            n += len(own)
+            before = (before + own)[-WINDOW:]
+
+
+def document_windows(canon: Canon, parts: list[Part], modes: list[int], seen: np.ndarray) -> Iterator[tuple[Part, int, int, list[int]]]:
+    """(part, position in it, hash, kinds) of the windows whose bit is set in ``seen``."""
+    sizes = np.array([len(p.tokens) for p in parts])
+    starts = np.cumsum(sizes) - sizes
+    tokens = [t for p in parts for t in p.tokens]
+    codes, kinds = canon(tokens, starts)
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(tokens))  # tokens up to the part's end
+    # A window that ends in the context was told by the part before.
+    old = np.repeat(starts + np.array([p.known for p in parts]), sizes) - np.arange(len(tokens))
+    number = np.repeat(np.arange(len(parts)), sizes)
     for mode in modes:
         w = mode % EXACT
         if mode > EXACT:
             h = _exact_hashes(tokens, w)
-            for i in np.flatnonzero(passes(h) & (left[: len(h)] >= w)).tolist():
-                yield told(i, int(h[i]), [LITERAL] * w)
-            continue
-        h, good = window_hashes(codes, kinds, w)
-        for i in np.flatnonzero(good & passes(h) & (left[: len(h)] >= w)).tolist():
-            yield told(i, int(h[i]), kinds[i : i + w].tolist())
-        at = other[left[other] >= w]
-        h, words = np.full(len(at), w, np.uint64), np.zeros(len(at), np.uint8)
-        for k in range(w):
-            h = (h ^ (codes[at + k] if k else rows[at, 1])) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
-            words += (kinds[at + k] if k else rows[at, 0]) == LITERAL
-        for j in np.flatnonzero((words >= min(MIN_WORDS, w)) & passes(h)).tolist():
-            i = int(at[j])
-            yield told(i, int(h[j]), [int(rows[i, 0]), *kinds[i + 1 : i + w].tolist()])
+            good = np.ones(len(h), bool)
+        else:
+            h, good = window_hashes(codes, kinds, w)
+        n = len(h)
+        for i in np.flatnonzero(good & seen[h >> np.uint64(64 - FILTER_BITS)] & (left[:n] >= w) & (old[:n] < w)).tolist():
+            part = parts[number[i]]
+            yield part, i - int(starts[number[i]]), int(h[i]), [LITERAL] * w if mode > EXACT else kinds[i : i + w].tolist()
 
 
 def _slots(tokens: list[bytes], kinds: list[int], at: int) -> list[str]:
@@ -210,22 +205,40 @@ def _windows(rows: DataFrame, id_col: str, text: str, passing: np.ndarray | None
     """(id, n_windows, mode, at, h, slots) of an item's windows; with ``passing`` those of documents whose bit is set there."""
     bits = None if passing is None else np.packbits(passing).tobytes()
 
+    def hits(canon: Canon, batch: pa.RecordBatch, seen: np.ndarray | None) -> Iterator[tuple]:
+        if seen is None:
+            for k, b in enumerate(batch.column(1).to_pylist()):
+                if tokens := b.split():
+                    n, windows = item_windows(canon, tokens)
+                    for mode, at, h, kinds in windows:
+                        yield k, n, mode, at, h, _slots(tokens, kinds, at)
+            return
+        held: list[Part] = []
+        size = 0
+        for k, x in enumerate(batch.column(1)):
+            for part in text_parts(k, x.as_py()):
+                held.append(part)
+                size += len(part.tokens)
+                if size >= PART_TOKENS:
+                    yield from told(canon, held, seen)
+                    held, size = [], 0
+        if held:
+            yield from told(canon, held, seen)
+
+    def told(canon: Canon, parts: list[Part], seen: np.ndarray) -> Iterator[tuple]:
+        for part, at, h, kinds in document_windows(canon, parts, modes, seen):
+            yield part.row, 0, 0, part.first + at, h, _slots(part.tokens, kinds, at)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         seen = None if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        for part in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            ids, texts = part.column(0).to_pylist(), [b.split() for b in part.column(1).to_pylist()]
-            if seen is None:
-                items = [(k, *item_windows(canon, t)) for k, t in enumerate(texts) if t]
-                hits = ((k, n, *x) for k, n, windows in items for x in windows)
-            else:
-                hits = ((k, 0, 0, *x) for k, *x in document_windows(canon, texts, modes, seen))
-            for k, n, mode, at, h, kinds in hits:
-                for col, v in zip(out, (ids[k], n, mode, at, h - (1 << 64) if h >> 63 else h, _slots(texts[k], kinds, at))):
-                    col.append(v)
-            kinds_ = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds_)], names=["id", "n_windows", "mode", "at", "h", "slots"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            found = hits(canon, batch, seen)
+            while rows := list(itertools.islice(found, 1 << 14)):
+                cols = [[ids[r[0]] for r in rows], *([r[i] for r in rows] for i in (1, 2, 3)), [r[4] - (1 << 64) if r[4] >> 63 else r[4] for r in rows], [r[5] for r in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "n_windows", "mode", "at", "h", "slots"])
 
     picked = rows.select(F.col(id_col).cast("long").alias("id"), utf8(text).alias("_b"))
     return picked.mapInArrow(run, _WINDOWS)
