@@ -1,10 +1,15 @@
 """Toxicity by weak supervision.
 
-Voters look at a text and say toxic, clean or nothing: fixed lexicons, patterns (shouting, insults at a
-"you", letters replaced by signs), and stems that the labelled fit rows show to be telling. A generative
-label model (expectation maximisation) estimates each voter's accuracy; voters that agree beyond what the
-label explains are correlated, and share their weight. A linear classifier over hashed stems and the
-pattern votes is trained on the posterior labels and scores every whole text.
+Voters look at a text and say toxic or nothing: fixed lexicons, patterns (shouting, insults at a "you", letters
+replaced by signs), and stems that the labelled fit rows show to be telling. The known labels are one more
+voter, which says toxic, clean or, of a row without a label, nothing: its accuracy is estimated like that of
+any other, so labels may be wrong or missing. A generative label model (expectation maximisation) estimates in
+every round each voter's accuracy and, from what voters say together beyond what the label explains, their
+correlations; correlated voters share their weight. A linear classifier over stems and the pattern votes is
+trained on the posterior labels and scores every whole text.
+
+Without the labels as a voter the estimate settles on the largest group of words that occur together (one
+language's) and takes the others for noise: votes alone do not tell which words are toxic.
 
 Fitting uses at most ``2 * PER_LABEL`` texts of each label, chosen by a hash of the text; scoring is one
 pass without a shuffle. Stems are looked up in a table of the classifier's features, of bounded size.
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, sample_by_labels, utf8
+from .common import byte_parts, crc_mod, sample_by_labels, utf8
 
 PER_LABEL = 1500
 MAX_STEMS, MAX_FEATURES = 48, 4096
@@ -33,6 +38,8 @@ STEM = (4, 5, 6, 7)
 THRESHOLD = 0.3
 #: Tokens that a task remembers.
 CACHE_TOKENS = 200_000
+#: Bytes of a text that are split at once.
+PART_BYTES = 1 << 18
 #: Log odds from which a voter counts as accurate.
 MIN_ODDS = 1.5
 
@@ -81,7 +88,7 @@ def features(b: bytes) -> set[str]:
 
 
 class Voters:
-    """Each voter: a set of features any of which makes it say toxic. The last one says clean if no other speaks."""
+    """Each voter: a set of features any of which makes it say toxic."""
 
     def __init__(self, sample: list[tuple[int, set[str]]]):
         self.sets: list[frozenset[str]] = [frozenset("=" + w for w in words.split()) for words in LEXICONS.values()]
@@ -96,9 +103,10 @@ class Voters:
             return math.log(p / q)
 
         telling = [s for s in seen if seen[s] >= max(4, 0.004 * len(toxic)) and worth(s) > 2.5 and s[0] not in "?~"]
-        left = toxic
+        known = set(telling)
+        left = [f & known for f in toxic]
         for _ in range(MAX_STEMS):  # each next stem covers the most toxic texts that none yet covers
-            gain = Counter(s for f in left for s in f & set(telling)) if left else Counter()
+            gain = Counter(s for f in left for s in f)
             if not gain or gain.most_common(1)[0][1] < 3:
                 break
             best = min(gain, key=lambda s: (-gain[s] - 1e-3 * worth(s), s))
@@ -106,26 +114,26 @@ class Voters:
             left = [f for f in left if best not in f]
 
     def votes(self, f: set[str]) -> list[int]:
-        """1 toxic, -1 clean, 0 nothing."""
-        said = [1 if not s.isdisjoint(f) else 0 for s in self.sets]
-        return [*said, 0 if any(said) else -1]
-
+        """1 toxic, 0 nothing."""
+        return [1 if not s.isdisjoint(f) else 0 for s in self.sets]
 
-def label_model(votes: np.ndarray, known: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of toxic for every row, log odds that each voter's "toxic" speaks for).
 
-    Expectation maximisation over the voters' accuracies, with weights for their correlations.
+def label_model(votes: np.ndarray, known: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of toxic for every row, log odds that each voter's "toxic" speaks for, correlations of the voters).
 
-    ``known`` (0/1, or -1) starts the estimate and counts as one more voter of fixed accuracy.
+    ``votes``: 1 toxic, -1 clean, 0 nothing. ``known`` (1, 0, or -1 for unknown) is the last voter, and starts
+    the estimate. Every round estimates what each voter says of toxic and of clean rows, the correlations of
+    the voters within the classes, and from both the posterior: the voters' log ratios, each divided by how many
+    voters it stands for (the sum of its positive correlations, itself included).
     """
+    votes = np.column_stack([votes, np.where(known == 1, 1.0, np.where(known == 0, -1.0, 0.0))])
     n, m = votes.shape
     if not n:
-        return np.zeros(0), np.zeros(m)
-    post = np.where(known >= 0, np.clip(known, 0.02, 0.98), np.where((votes > 0).any(axis=1), 0.7, 0.2)).astype(float)
+        return np.zeros(0), np.zeros(m), np.eye(m)
+    post = np.where(known >= 0, np.clip(known, 0.02, 0.95), np.where((votes > 0).any(axis=1), 0.7, 0.2 * prior))
     spoke = {v: (votes == v).astype(float) for v in (-1, 0, 1)}
-    weight = np.ones(m)
-    anchor = np.where(known == 1, 4.0, np.where(known == 0, -4.0, 0.0))
-    for k in range(rounds):
+    weight, odds, corr = np.ones(m), np.zeros(m), np.eye(m)
+    for _ in range(rounds):
         ratio = np.zeros((n, m))
         for v, x in spoke.items():
             toxic = (x.T @ post + 0.5) / (post.sum() + 1.5)
@@ -133,16 +141,16 @@ def label_model(votes: np.ndarray, known: np.ndarray, prior: float, rounds: int
             ratio += x * np.log(toxic / clean)
             if v == 1:
                 odds = np.log(toxic / clean)
-        if k in (3, 8):  # correlation of what the voters say beyond what the label explains
-            rest = votes - (np.outer(post, (votes.T @ post) / max(post.sum(), 1e-9)) + np.outer(1 - post, (votes.T @ (1 - post)) / max((1 - post).sum(), 1e-9)))
-            cov = rest.T @ rest / n + 1e-9 * np.eye(m)
-            d = np.sqrt(np.diag(cov))
-            corr = np.clip(np.abs(cov / np.outer(d, d)), 0, 1)
-            corr[corr < 0.1] = 0
-            weight = 1 / np.maximum(corr.sum(axis=1), 1)
-        logit = math.log(prior / (1 - prior)) + ratio @ weight + anchor
+        means = [(votes.T @ p) / max(p.sum(), 1e-9) for p in (post, 1 - post)]
+        rest = votes - np.outer(post, means[0]) - np.outer(1 - post, means[1])
+        cov = rest.T @ rest / n + 1e-9 * np.eye(m)
+        d = np.sqrt(np.diag(cov))
+        corr = cov / np.outer(d, d)
+        shared = np.where(corr < 0.1, 0, np.minimum(corr, 1))  # less is noise of a sample
+        weight = 0.5 * weight + 0.5 / np.maximum(shared.sum(axis=1), 1)
+        logit = math.log(prior / (1 - prior)) + ratio @ weight
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, odds
+    return post, odds, corr
 
 
 def train_linear(rows: list[set[str]], target: np.ndarray, epochs: int = 300) -> tuple[dict[str, float], float]:
@@ -193,7 +201,9 @@ class Model:
         cache: dict[bytes, tuple[str, ...]] = {}
 
         def score(b: bytes) -> float:
-            words = set(b.split())
+            words: set[bytes] = set()  # of a long text, part by part, the distinct ones only
+            for part in byte_parts(b, PART_BYTES):
+                words.update(part.split())
             found: set[str] = set()
             for w in words:
                 hit = cache.get(w)
@@ -225,11 +235,11 @@ def _kept_features(sample: list[tuple[int, bytes]]) -> list[tuple[int, set[str]]
 def fit(sample: list[tuple[int, bytes]], prior: float) -> Model:
     rows = _kept_features(sample)
     voters = Voters(rows)
-    votes = np.array([voters.votes(f) for _, f in rows], float).reshape(len(rows), len(voters.sets) + 1)
+    votes = np.array([voters.votes(f) for _, f in rows], float).reshape(len(rows), len(voters.sets))
     labels = np.array([y for y, _ in rows], int)
     share = min(0.95, max(0.02, labels.mean() if len(rows) else 0.1))
-    post, odds = label_model(votes, labels, share)
-    strong = frozenset().union(*[v for v, o in zip(voters.sets, odds.tolist()) if o > MIN_ODDS])
+    post, odds, _ = label_model(votes, labels, share)
+    strong = frozenset().union(*[v for v, o in zip(voters.sets, odds[:-1].tolist()) if o > MIN_ODDS])
     if not rows:
         return Model({s: 4.0 for v in voters.sets[: len(LEXICONS)] for s in v}, -3.0)
     weights, bias = train_linear([with_votes(f, strong) for _, f in rows], post)

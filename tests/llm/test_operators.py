@@ -430,10 +430,45 @@ def test_label_model_finds_the_accurate_voters():
     rng = np.random.default_rng(3)
     y = rng.random(600) < 0.3
     votes = np.stack([np.where(y & (rng.random(600) < 0.8), 1, 0), np.where(rng.random(600) < 0.3, 1, 0), np.where(~y, -1, 0)], axis=1).astype(float)
-    post, odds = toxicity.label_model(votes, np.full(600, -1), 0.3)
+    post, odds, _ = toxicity.label_model(votes, np.full(600, -1), 0.3)
     assert ((post > 0.5) == y).mean() > 0.9 and odds[0] > 2 and abs(odds[1]) < 1
 
 
+def test_label_model_sees_copies_of_a_voter():
+    """A noisy voter said five times over counts as one: it does not outvote three independent good ones."""
+    rng = np.random.default_rng(4)
+    y = rng.random(3000) < 0.4
+    good = [np.where(y, np.where(rng.random(3000) < 0.75, 1, 0), np.where(rng.random(3000) < 0.1, 1, 0)) for _ in range(3)]
+    noisy = np.where(rng.random(3000) < 0.35, 1, 0)
+    known = np.where(rng.random(3000) < 0.2, y, -1)
+    post, odds, corr = toxicity.label_model(np.stack([*good, *[noisy] * 5], axis=1).astype(float), known, 0.4)
+    assert corr[3, 4] > 0.99 and abs(corr[0, 1]) < 0.3
+    assert ((post > 0.5) == y).mean() > 0.9 and min(odds[:3]) > 1 > max(odds[3:8])
+
+
+def test_label_model_corrects_wrong_labels():
+    """A tenth of the labels is wrong: the posterior is nearer to the truth than they are."""
+    rng = np.random.default_rng(5)
+    y = rng.random(3000) < 0.3
+    good = [np.where(y, np.where(rng.random(3000) < 0.8, 1, 0), np.where(rng.random(3000) < 0.05, 1, 0)) for _ in range(4)]
+    told = np.where(rng.random(3000) < 0.1, ~y, y).astype(int)
+    post, odds, _ = toxicity.label_model(np.stack(good, axis=1).astype(float), told, 0.3)
+    assert ((post > 0.5) == y).mean() > 0.97 and odds[-1] < 4
+
+
+def test_hidden_labels_are_found(spark):
+    """The posterior of rows whose label the model does not see."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    sample, _ = common.sample_by_labels(docs, labels, "doc_id", "text", "toxic", toxicity.PER_LABEL)
+    rows = toxicity._kept_features(sample)
+    voters = toxicity.Voters(rows)
+    votes = np.array([voters.votes(f) for _, f in rows], float)
+    y = np.array([v for v, _ in rows])
+    hidden = np.arange(len(y)) % 2 == 0
+    post, _, _ = toxicity.label_model(votes, np.where(hidden, -1, y), y.mean())
+    assert ((post > 0.5) == y)[hidden].mean() > 0.93
+
+
 # --- all
 
 
