@@ -94,22 +94,21 @@ def crc_mod(col: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % F.lit(n), F.lit(-1)).cast("int")
 
 
-def labelled_sample(rows: DataFrame, label: str, text: str, per_label: int) -> list[tuple[object, bytes]]:
+def labelled_sample(rows: DataFrame, label: str, text: str, per_label: int, max_labels: int) -> list[tuple[object, bytes]]:
     """About ``per_label`` (at most twice as many) distinct labelled texts of each label, on the driver.
 
-    Rows are chosen by a hash of the text alone, so the choice depends neither on ids nor on the
-    layout of the data, and the copies of one text count once. Ties cannot occur: a text is a key.
-    The sample's size is bounded by the parameter, not by the data.
+    The ``max_labels`` most frequent labels count (of equals, those that sort first): a column of dirty values
+    does not reach the driver. Rows are chosen by a hash of the text alone, so the choice depends neither on
+    ids nor on the layout of the data, and the copies of one text count once. Ties cannot occur: a text is a
+    key. The sample's size is bounded by the parameters, not by the data.
     """
-    point = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    usable = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    usable = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("y"), F.col(text).cast("string").alias("t"))
+    counts = usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(max_labels).collect()
     if not counts:
         return []
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, 1.25 * per_label / n))).otherwise(share)
-    chosen = usable.where(point < share).groupBy(F.col(text).alias("t")).agg(F.min(label).alias("y"))
+    shares = rows.sparkSession.createDataFrame([(r.y, min(1.0, 1.25 * per_label / r.n)) for r in counts], usable.select("y", F.lit(0.0).alias("share")).schema)
+    point = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = usable.join(F.broadcast(shares), "y").where(point < F.col("share")).groupBy("t").agg(F.min("y").alias("y"))
     by: dict[object, list[tuple[int, object, bytes]]] = {}
     for r in chosen.select("y", F.col("t").cast("binary").alias("t"), F.xxhash64("t").alias("h")).toLocalIterator():
         by.setdefault(r.y, []).append((r.h, r.y, bytes(r.t)))

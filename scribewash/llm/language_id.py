@@ -1,13 +1,15 @@
 """Language identification by string kernels.
 
-A text is the set of its byte n-grams of 1 to 4 (lower-cased): a blended-spectrum presence kernel,
+A text is the set of the byte n-grams of 1 to 4 of its lower-cased form: a blended-spectrum presence kernel,
 normalised. A bounded set of landmark texts spans the Nystroem approximation; one-versus-rest kernel
 ridge regression gives each language a weight on every landmark. As the presence kernel is linear in the
 presence vector, a batch of texts is scored by one product of its presence matrix with the landmarks'
 weighted presence vectors: the same figures as the product through the kernel matrix.
 
-The kernel lives on the n-grams that the landmarks hold (hashed); others cannot meet a landmark.
-Fitting uses at most ``2 * PER_LANGUAGE`` texts of each language, chosen by a hash of the text.
+The kernel lives on ``MAX_FEATURES`` hashed n-grams, those that most landmarks hold (of equals, by hash); rarer
+ones are left out of it, so that a model's size does not grow with the number of languages. Fitting uses at
+most ``2 * PER_LANGUAGE`` texts of each of the ``MAX_LANGUAGES`` most frequent languages, chosen by a hash of
+the text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled
 text every prediction is ``und``; equal scores go to the language that sorts first; null ids and repeated
@@ -27,8 +29,8 @@ from .common import crc_mod, labelled_sample, utf8
 
 NGRAMS = (1, 2, 3, 4)
 HASH_BITS = 20
-#: Documented bounds of the fit: texts and landmarks of each language, n-grams of the kernel.
-PER_LANGUAGE, LANDMARKS, MAX_FEATURES = 200, 48, 1 << 15
+#: Documented bounds of the fit: texts and landmarks of each language, n-grams of the kernel, languages.
+PER_LANGUAGE, LANDMARKS, MAX_FEATURES, MAX_LANGUAGES = 200, 48, 1 << 15, 300
 RIDGE = 1e-3
 UNDETERMINED = "und"
 #: Bytes of text whose n-grams are held at once.
@@ -44,6 +46,10 @@ def gram_codes(body: np.ndarray, n: int) -> np.ndarray:
     return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
 
 
+def lowered(t: bytes) -> bytes:
+    return t.lower() if t.isascii() else t.decode("utf-8", "replace").lower().encode()
+
+
 def presence(texts: list[bytes], lookup: np.ndarray, width: int) -> np.ndarray:
     """0/1 matrix: which kernel features (by ``lookup`` of the hash; -1: none) each text holds."""
     out = np.zeros((len(texts), width + 1), bool)  # the last column takes what is no feature
@@ -60,7 +66,7 @@ def presence(texts: list[bytes], lookup: np.ndarray, width: int) -> np.ndarray:
     rows: list[np.ndarray] = []
     size = 0
     for i, t in enumerate(texts):
-        body = np.frombuffer(t.lower(), np.uint8)
+        body = np.frombuffer(lowered(t), np.uint8)
         for a in range(0, len(body), PART_BYTES):  # parts overlap, so no n-gram is lost
             part = body[a : a + PART_BYTES + max(NGRAMS) - 1]
             held.append(part), rows.append(np.full(len(part), i, np.int64))
@@ -140,6 +146,6 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2) -> DataFrame:
     """(id, held_out, lang_pred, score): learnt from the rows outside the held-out fold of crc32(id)."""
     fold = crc_mod(doc_id, folds)
-    model = fit(labelled_sample(docs.where(fold != held_out), lang, text, PER_LANGUAGE))
+    model = fit(labelled_sample(docs.where(fold != held_out), lang, text, PER_LANGUAGE, MAX_LANGUAGES))
     out = identify(docs, model, doc_id, text)
     return out.select(doc_id, (fold == held_out).alias("held_out"), "lang_pred", "score")

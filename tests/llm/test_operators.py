@@ -1,6 +1,7 @@
 """Each operator against brute force or planted cases, and the same edge cases for all."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -417,13 +418,55 @@ def test_mil_gradient():
 
 
 def test_presence_against_brute_force():
-    lookup = np.arange(1 << language_id.HASH_BITS)
-    texts = [b"Hello world", b"", b"ab", "é".encode() * 9]
-    got = language_id.presence(texts, lookup, 1 << language_id.HASH_BITS)
-    for row, t in zip(got, texts):
-        body = np.frombuffer(t.lower(), np.uint8)
-        want = {int(h) for n in language_id.NGRAMS if len(body) >= n for h in language_id.gram_codes(body, n)}
-        assert set(np.flatnonzero(row).tolist()) == want
+    """Features by plain Python integers and slices of whole texts; parts of a long text overlap."""
+    mask, bits = (1 << 32) - 1, language_id.HASH_BITS
+
+    def code(gram):
+        c = len(gram)
+        for x in gram:
+            c = ((c << 8) & mask) ^ (((c >> 24) * 0x01000193) & mask) ^ x
+        return ((c * 0x9E3779B1) & mask) >> (32 - bits)
+
+    lookup = np.arange(1 << bits)
+    rng = random.Random(1)
+    texts = [b"Hello world", b"", b"ab", "ÉÀ Straße İ".encode() * 9] + ["".join(rng.choices("abcÄé ", k=rng.randrange(60))).encode() for _ in range(40)]
+    want = []
+    for t in texts:
+        low = t.decode().lower().encode()
+        want.append({code(low[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(low) - n + 1)})
+    for part in (language_id.PART_BYTES, 7):
+        old, language_id.PART_BYTES = language_id.PART_BYTES, part
+        try:
+            assert [set(np.flatnonzero(r).tolist()) for r in language_id.presence(texts, lookup, 1 << bits)] == want
+        finally:
+            language_id.PART_BYTES = old
+
+
+def test_ridge_against_the_kernel_matrix():
+    """The scores by presence vectors are those of kernel ridge regression through the landmarks' kernel, from sets."""
+    rng = random.Random(2)
+    words = {"de": "und die der nicht mit", "en": "and the of not with", "fr": "et les des pas avec"}
+    sample = [(y, " ".join(rng.choices(w.split(), k=12)).encode()) for y, w in sorted(words.items()) for _ in range(20)]
+    model = language_id.fit(sample)
+    grams = lambda t: {t[i : i + n] for n in language_id.NGRAMS for i in range(len(t) - n + 1)}
+    kernel = lambda a, b: len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))
+    marks = [t for _, t in sample]  # fewer than LANDMARKS of each language: all are
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    y = np.array([[1.0 if z == lang else -1.0 for lang in sorted(words)] for z, _ in sample])
+    alpha = np.linalg.solve(k.T @ k + language_id.RIDGE * len(sample) * k + 1e-8 * np.eye(len(marks)), k.T @ y)
+    queries = [b"und der mit die", b"the of and", b"les pas avec des et"]
+    want = np.array([[kernel(t, m) for m in marks] for t in queries]) @ alpha
+    assert np.abs(model.scores(queries) - want).max() < 0.02
+    assert [model.languages[i] for i in want.argmax(axis=1)] == ["de", "en", "fr"]
+
+
+def test_dirty_language_column(spark, monkeypatch):
+    """Only the most frequent values are learned."""
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(100 + i, "der hund und die katze", "de") for i in range(30)]
+    rows += [(200 + i, f"noise {i}", f"x{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.language_id(docs).collect()} == {"de", "en"}
 
 
 def test_label_model_finds_the_accurate_voters():
