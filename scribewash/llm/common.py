@@ -14,10 +14,14 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a folder of our own only where none is set (tests)."""
+    """The shared folder named by the cluster. A folder of our own only on a single machine where none is named, as
+    in tests; on a cluster that names none this raises, as executors would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="scribewash-"))
     return _OWN_DIR[0]
@@ -31,11 +35,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scribewash_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote: only once everything that reads them has itself been written."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scribewash_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of plans that are no longer referenced."""
+    """Let the context cleaner drop shuffle files of plans that are no longer referenced.
+
+    The cleaner acts when the driver's JVM collects its garbage; between two phases that each shuffle about as
+    much as the input, waiting for that to happen by chance would hold both on disk.
+    """
     import gc
 
     gc.collect()

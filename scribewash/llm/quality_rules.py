@@ -61,12 +61,21 @@ def _repeated_words(windows_twice: list[bool] | np.ndarray) -> int:
     return repeat
 
 
-def _twice(digests: bytes) -> np.ndarray:
-    """Which of the 16-byte digests occur more than once."""
+def _equal_neighbours(digests: bytearray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether each but the first equals the one before) of 16-byte digests, sorted."""
     parts = np.frombuffer(digests, np.uint64).reshape(-1, 2)
     order = np.lexsort((parts[:, 1], parts[:, 0]))
-    same = (parts[order[1:]] == parts[order[:-1]]).all(axis=1)
-    out = np.zeros(len(parts), bool)
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for column in (0, 1):
+        x = parts[order, column]
+        same &= x[1:] == x[:-1]
+    return order, same
+
+
+def _twice(digests: bytearray) -> np.ndarray:
+    """Which of the digests occur more than once."""
+    order, same = _equal_neighbours(digests)
+    out = np.zeros(len(order), bool)
     out[order[1:][same]] = out[order[:-1][same]] = True
     return out
 
@@ -104,11 +113,9 @@ def _long_counts(b: bytes) -> tuple[int, ...]:
     if not blank:
         lines += line.digest()
     n_lines = len(lines) // 16
-    rows = np.frombuffer(bytes(lines), np.uint64).reshape(-1, 2)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    dup = int((rows[1:] == rows[:-1]).all(axis=1).sum())
+    dup = int(_equal_neighbours(lines)[1].sum())
     symbols = len(b) - len(b.translate(None, SYMBOLS))
-    return n, chars, symbols, dup, _repeated_words(_twice(bytes(windows))), upper, n_lines
+    return n, chars, symbols, dup, _repeated_words(_twice(windows)), upper, n_lines
 
 
 def text_counts(b: bytes) -> tuple[int, ...]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_parts, materialise, utf8
+from .common import byte_parts, discard, materialise, utf8
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 CELL_MAX = 48
@@ -154,7 +154,7 @@ def near_pairs(points: DataFrame) -> DataFrame:
     return paired.unionByName(met).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches, by large-star and small-star rounds."""
     spark = edges.sparkSession
     now = materialise(edges.select("u", "v"), "edges")
@@ -167,7 +167,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         down = large.select(F.col("v").alias("n"), F.col("u").alias("s"))
         least = down.groupBy("n").agg(F.min("s").alias("m"))
         small = down.join(least, "n").where("s <> m").select(F.col("m").alias("u"), F.col("s").alias("v"))
-        now = materialise(small.unionByName(least.select(F.col("m").alias("u"), F.col("n").alias("v"))).distinct(), "edges")
+        now, old = materialise(small.unionByName(least.select(F.col("m").alias("u"), F.col("n").alias("v"))).distinct(), "edges"), now
+        discard(old)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("v").alias("node"), F.col("u").alias("root"))

@@ -19,7 +19,12 @@ id. Equal strings must meet in one place, sorted, without sorting all suffixes o
 
 Defined results: a null text is empty; texts shorter than MIN_LEN lose nothing; a null id counts as
 larger than any other; rows with equal ids do not remove each other's bytes; an empty table gives no
-rows; other columns are passed through if named in ``keep``.
+rows; other columns are passed through if named in ``keep``, and the result's own names can be given a
+``prefix`` where those columns have them. A block holds whole documents: one document must fit a task's memory.
+
+Growth: a block sends one message to each bucket that one of its anchors falls into, so messages grow with
+blocks times buckets until a message holds a single anchor; from there on (about 1 TB with the sizes
+below) they grow with the anchors, as the rows of a join on the anchor would.
 """
 
 from __future__ import annotations
@@ -473,12 +478,17 @@ def _cut(n_buckets: int, names: list[str], schema: pa.Schema, as_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
-    """The columns ``keep`` (the id alone by default) and n_bytes, n_removed, n_spans, kept.
+def suffix_dedup(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: bool = False, prefix: str = ""
+) -> DataFrame:
+    """The columns ``keep`` (the id alone by default) and n_bytes, n_removed, n_spans, kept, these after ``prefix``.
 
     ``kept`` holds the remaining bytes; with ``as_text`` a string, without the rests of characters that a cut went through.
     """
     keep = keep or [doc_id]
+    counts = [f"{prefix}{c}" for c in ("n_bytes", "n_removed", "n_spans")]
+    if clash := {*counts, f"{prefix}kept"} & {*keep}:
+        raise ValueError(f"keep has columns of the result ({', '.join(sorted(clash))}): name a prefix")
     spark = docs.sparkSession
     blocks = materialise(_blocks(docs, doc_id, text, keep), "blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
@@ -495,6 +505,6 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     release_shuffles(spark)
 
     answer = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "least")).alias("least"))
-    fields = [docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
+    fields = [docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in counts] + [T.StructField(f"{prefix}kept", T.StringType() if as_text else T.BinaryType())]
     schema = T.StructType(fields)
     return marked.join(answer, "block", "left").mapInArrow(_cut(n_sorts, keep, to_arrow_schema(schema), as_text), schema)

@@ -588,3 +588,32 @@ def test_large_id_sets_are_joined_by_a_shuffle(spark, monkeypatch):
     small = sorted(r.text for r in common.without_ids(docs, ids).collect())
     monkeypatch.setattr(common, "MAX_BROADCAST_IDS", 0)
     assert sorted(r.text for r in common.without_ids(docs, ids).collect()) == small == ["a", "c"]
+
+
+def test_pipeline_stages_pass_any_column_through(spark):
+    """Null, empty and repeated rows, an empty table, columns with the names that operators use inside."""
+    names = ["kept", "n_removed", "n_bytes", "n_spans", "component_id", "fingerprint", "distance", "cut_kept", "gkey", "item", "share"]
+    rows = [(i, prose(random.Random(i), 90, 4000), "en", "a", 1) for i in range(12)] + [(3, "", "en", "a", 0), (20, None, None, None, None), (None, "x", "en", "a", 1), (4, prose(random.Random(4), 90, 4000), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", *[f"'{n}' AS {n}" for n in names]).coalesce(2)
+    for table in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, "/root/testdata/sf0.001")
+            assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+            assert all(r[n] == n for r in out.collect() for n in names)
+        ids = corpus_pipeline.encode_pieces(spark, table, "/root/testdata/sf0.001").collect()
+        assert len(ids) == table.count() and all((r.n_pieces == 0) == (not r.ids) for r in ids)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
