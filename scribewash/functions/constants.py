@@ -30,8 +30,8 @@ AMBIGUOUS = "啊呀哦噢唉哎喔哟"
 INTERJECTION = PURE + AMBIGUOUS
 NEVER_DOUBLE = "我你您他她它这那哪的了吗呢吧嘛呀是在有就都也还又才很不没别再已被给让从向到与及或和而但因由且并则若虽之于以其所该各每此咱俺怎可"
 STUTTER_GAP = r"，,、：:；;… \t\f\x0b\u3000"
-#: Names in which 可可 is no stutter: what follows 可可.
-COCOA_NAMES = ("西里", "托海", "豆", "粉", "脂", "树", "碱", "油")
+#: Names in which 可可 is no stutter.
+COCOA_NAMES = ("可可西里", "可可托海", "可可豆", "可可粉", "可可脂", "可可树", "可可碱", "可可油")
 PHRASES = ("哎呀", "哎哟", "哎呦", "也就是说", "就是说", "怎么说呢", "怎么说")
 DEICTICS = ("这个", "那个")
 CONNECTORS = (

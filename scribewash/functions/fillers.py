@@ -10,7 +10,7 @@ from .rewrite import guarded
 from .text_ops import strip_blanks
 
 # A shielded name starts here. A shield also ends a word: what stands before a name has no word after it.
-_NAME = "可可" + C.alternation(C.COCOA_NAMES)
+_NAME = C.alternation(C.COCOA_NAMES)
 _ND, _GAP = f"(?!{_NAME})([{C.NEVER_DOUBLE}])", f"[{C.STUTTER_GAP}]*"
 _SHIELD = "\ue010"
 

@@ -7,7 +7,7 @@ from email.parser import BytesParser
 from email.policy import HTTP
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +28,16 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
 
+def _json_string(json: Column, path: str) -> Column:
+    """The string at a path; null if there is none, or a number or object, which get_json_object gives as text."""
+    value = F.try_variant_get(F.try_parse_json(json), path, "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.get_json_object(json, path))
+
+
 def parse_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
     """Adds raw, status and error: an engine's JSON reply must be an object with a string ``text``."""
-    text = F.get_json_object(reply, "$.text")
-    # get_json_object gives numbers and objects as text, too: as a variant, the value keeps its type.
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(reply)), "$.text", "variant"))
-    ok = F.coalesce(text.isNotNull() & (kind == "STRING"), F.lit(False))
+    text = _json_string(F.col(reply), "$.text")
+    ok = text.isNotNull()
     return df.withColumns(
         {
             "raw": F.when(ok, text),
@@ -47,7 +51,7 @@ def sse_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """Adds delta (null if the line carries none) and is_end of server-sent lines; malformed ones carry none."""
     stripped = strip_blanks(F.coalesce(F.col(line), F.lit("")))
     data = F.when(F.startswith(stripped, F.lit("data:")), strip_blanks(F.substring(stripped, 6, 1 << 30)))
-    content = F.get_json_object(data, "$.choices[0].delta.content")
+    content = _json_string(data, "$.choices[0].delta.content")
     return df.withColumns({"delta": F.when(content != "", content), "is_end": F.coalesce(data == "[DONE]", F.lit(False))})
 
 
