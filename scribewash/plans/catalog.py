@@ -1,23 +1,30 @@
 """Registered queries of the transcript operators, with the SQL that each is held against.
 
-Chinese rules meet no Chinese text in the given tables: they run over stated cases (``goldens``). All
-others run over whole tables, against SQL that is formulated independently.
+All run over whole tables and whole texts, against SQL that is formulated independently. The tables hold no
+Chinese text: for the Chinese rules, every turn gets a line in front (for the whole clean-up, at its end) with one
+of the stated cases (``goldens``), dealt by the row's ids, and a line of numerals that spell a number made of the
+ids; SQL puts the case's known result and the number's figures there, and for the turn's own text what it
+computes itself.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import commands, fillers, numerals, text_ops
 from ..functions import constants as C
 from ..operators import alias_join, deltas
 from ..sources import readers
+from ..streaming.marker_filter import live_events
 from . import goldens
-from .pipeline import CleanupOptions, finalize
+from .pipeline import CleanupOptions, clean, finalize
 
 Query = Callable[[SparkSession, str], DataFrame]
 ECHO_PROMPT = "Than in of the and. It was that thing, erst with the heat of an eron"
@@ -55,19 +62,69 @@ def _over_turns(name: str, f: Callable[[Column], Column], out: str = "text") ->
 
 
 def _over_documents(name: str, f: Callable[[Column], Column]) -> tuple[str, Query]:
-    return name, lambda s, d: spread(_table(s, d, "documents").select("doc_id", "text")).select("doc_id", f(F.col("text")).alias("text"))
+    return name, lambda s, d: dealt_out(_table(s, d, "documents").select("doc_id", "text")).select("doc_id", f(F.col("text")).alias("text"))
 
 
-def _cases(spark: SparkSession, cases: list[tuple[str, str | None]]) -> DataFrame:
-    return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "case_id long, raw string")
+def _case_number(n: int) -> Column:
+    return ((F.col("conv_id") * 8 + F.col("turn")) % n).cast("int") + 1
 
 
-def _golden(f: Callable[[Column], Column], cases: list, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, cases).select("case_id", f(F.col("raw")).alias("text"))
+def _dealt(values: list[str]) -> Column:
+    """One of the values for each turn (DEALT in SQL)."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), _case_number(len(values)))
 
 
-def _golden_final(options: CleanupOptions, cases: list, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finalize(_cases(spark, cases), "raw", "text", options).select("case_id", "text")
+def _dealt_sql(values: list[str]) -> str:
+    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"list_extract([{quoted}], CAST((conv_id * 8 + turn) % {len(values)} AS INTEGER) + 1)"
+
+
+def _known(cases: list[tuple[str, str | None]]) -> tuple[list[str], list[str]]:
+    return [a for a, _ in cases], [a if b is None else b for a, b in cases]
+
+
+def _number() -> Column:
+    """A number from 20 to 9,999 made of a turn's ids (NUMBER in SQL); two figures beside each other are common."""
+    return (F.col("conv_id") * 397 + F.col("turn") * 83) % 9980 + 20
+
+
+NUMBER = "((conv_id * 397 + turn * 83) % 9980 + 20)"
+
+
+def _spelled(n: Column) -> Column:
+    """A number below 10,000 in Chinese, with place values: the places that have a figure, one 零 for a gap between."""
+    figures = "零一二三四五六七八九"
+    figure = lambda k: F.floor(n / 10**k) % 10
+    parts = [F.when(figure(k) > 0, F.concat(F.substring(F.lit(figures), figure(k).cast("int") + 1, F.lit(1)), F.lit(unit))).otherwise("零") for k, unit in ((3, "千"), (2, "百"), (1, "十"), (0, ""))]
+    return F.regexp_replace(F.regexp_replace(F.concat(*parts), "零+", "零"), "^零|零$", "")
+
+
+def _in_front(f: Callable[[Column], Column], cases: list, numerals_line: str | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``f`` over every turn, after a line with a case and, if any, one with a numeral in ``numerals_line`` (%s)."""
+    lines = [_dealt(_known(cases)[0])]
+    if numerals_line:
+        before, _, after = numerals_line.partition("%s")
+        lines.append(F.concat(F.lit(before), _spelled(_number()), F.lit(after)))
+    raw = F.concat_ws("\n", *lines, "text")
+    return _turns(spark, sf_dir).select("conv_id", "turn", f(raw).alias("text"))
+
+
+def _numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", numerals.to_digits(_spelled(_number())).alias("text"))
+
+
+def _at_the_end(options: CleanupOptions, cases: list, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole clean-up of every turn, with a line that holds a case at its end; the prompt itself in every third row if there is one."""
+    raw = F.concat_ws("\n", "text", _dealt(_known(cases)[0]))
+    if options.prompt:
+        raw = F.when(F.col("conv_id") % 3 == 0, options.prompt).otherwise(raw)
+    return finalize(_turns(spark, sf_dir).select("conv_id", "turn", raw.alias("raw")), "raw", "text", options).select("conv_id", "turn", "text")
+
+
+def _finals(name: str) -> tuple[CleanupOptions, list[tuple[str, str | None]]]:
+    """Options, and the cases that may stand at a text's end: markers belong to its start, an empty result to a whole text."""
+    organizer, prompt, strip, cases = goldens.FINALIZE[name]
+    return CleanupOptions(organizer=organizer, prompt=prompt, strip_trailing_punct=strip), [c for c in cases if c[1] != "" and "<asr_text>" not in c[0] and c[0] != goldens.PROMPT]
 
 
 def _rewrites() -> dict[str, Callable[[Column], Column]]:
@@ -124,27 +181,37 @@ def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.substring("text", 1, 60)
-    return _turns(spark, sf_dir).select("conv_id", "turn", text_ops.longest_common_run(text, F.lit(ECHO_PROMPT)).cast("long").alias("run"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", text_ops.longest_common_run(F.col("text"), F.lit(ECHO_PROMPT)).cast("long").alias("run"))
 
 
 def prompt_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit(ECHO_PROMPT[8:40]), F.substring("text", F.lit(1), (F.col("turn") * 5).cast("int")))).otherwise(F.substring("text", 1, 12))
+    """Every turn after a part of the prompt; in every third conversation, the part and the turn's number alone."""
+    k, part = F.col("conv_id") % 3, F.lit(ECHO_PROMPT[8:40])
+    text = F.when(k == 0, F.concat(part, F.repeat(F.lit("w"), F.col("turn").cast("int") * 8))).when(k == 1, F.concat(part, "text")).otherwise(F.col("text"))
     return _turns(spark, sf_dir).select("conv_id", "turn", text_ops.is_prompt_echo(text, ECHO_PROMPT).alias("echo"))
 
 
+#: Characters of a delta.
+DELTA_CHARS = 40
+
+
 def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as token deltas (DELTAS in SQL)."""
+    """Whole conversations as token deltas, counted from 0 (DELTAS in SQL)."""
     k = F.col("conv_id") % 3
     first = F.when(k == 0, "language English<asr_text>").when(k == 1, "lang").otherwise("")
-    delta = F.concat(F.when(F.col("turn") == 0, first).otherwise(""), F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 20))
-    return _turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").alias("seq"), delta.alias("delta"))
+    last = F.floor(F.length("text") / DELTA_CHARS).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("text", i * DELTA_CHARS + 1, F.lit(DELTA_CHARS)))
+    parts = _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(cut).alias("part", "t"))
+    delta = F.concat(F.when((F.col("turn") == 0) & (F.col("part") == 0), first).otherwise(""), "t")
+    seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "part")) - 1
+    return parts.select(F.col("conv_id").cast("string").alias("request_id"), seq.cast("long").alias("seq"), delta.alias("delta"))
 
 
-DELTAS = """
-deltas AS (SELECT CAST(conv_id AS VARCHAR) AS request_id, CAST(turn AS BIGINT) AS seq,
-  CASE WHEN turn = 0 THEN CASE conv_id % 3 WHEN 0 THEN 'language English<asr_text>' WHEN 1 THEN 'lang' ELSE '' END ELSE '' END
-  || substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 20) AS delta FROM conversations)"""
+DELTAS = f"""
+parts AS (SELECT conv_id, turn, text, unnest(range(0, length(text) // {DELTA_CHARS} + 1)) AS part FROM conversations),
+deltas AS (SELECT CAST(conv_id AS VARCHAR) AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1 AS seq,
+  CASE WHEN turn = 0 AND part = 0 THEN CASE conv_id % 3 WHEN 0 THEN 'language English<asr_text>' WHEN 1 THEN 'lang' ELSE '' END ELSE '' END
+  || substr(text, part * {DELTA_CHARS} + 1, {DELTA_CHARS}) AS delta FROM parts)"""
 
 VISIBLE = (
     DELTAS
@@ -163,12 +230,12 @@ visible AS (
 def _sse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Server-sent lines with junk, keyed on the ids (SSE in SQL)."""
     rows = _deltas(spark, sf_dir)
-    k = F.col("seq") % 5
+    k = F.col("seq") % 50
+    content = F.to_json(F.struct(F.col("delta").alias("content")))
     line = (
-        F.when(k == 3, "data: [DONE]")
-        .when(k == 2, "data: {broken")
-        .otherwise(F.concat(F.lit('  data: {"choices":[{"index":0,"delta":{"content":"'), "delta", F.lit('"}}]}')))
-    )
+        F.when(k == 45, "data: [DONE]").when(k == 2, "data: {broken").when(k == 3, 'data: {"choices":[{"delta":{"content":5}}]}').when(k == 4, "data:")
+        .otherwise(F.concat(F.lit('  data: {"choices":[{"index":0,"delta":'), content, F.lit("}]} ")))
+    )
     return rows.select("request_id", "seq", line.alias("line"))
 
 
@@ -189,29 +256,86 @@ def finalize_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finalize(_decorated(spark, sf_dir), "raw", "text").select("conv_id", "turn", "text")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than there are cores, such as one small file, is dealt out; others are left alone."""
+def dealt_out(df: DataFrame) -> DataFrame:
+    """For tables of few files, such as the one file of each table here: as many partitions as there are cores.
+
+    Whether it is done hangs on the number of files alone; a table of many files is never shuffled.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, 8) else df
 
 
 def finalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finalize(spread(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw")))).select("doc_id", "text")
+    return finalize(dealt_out(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw")))).select("doc_id", "text")
 
 
 def stream_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deltas.final_texts(_deltas(spark, sf_dir), CleanupOptions(organizer="none", commands=False)).select("request_id", "text")
+    return deltas.final_texts(_deltas(spark, sf_dir)).select("request_id", "text")
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deltas.stream_events(_deltas(spark, sf_dir), CleanupOptions(organizer="none", commands=False))
+    return deltas.stream_events(_deltas(spark, sf_dir))
+
+
+def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("request_id")).distinct()
+    return ids.where("CAST(request_id AS BIGINT) % 7 = 0").select("request_id", F.lit("engine failed").alias("message"))
 
 
 def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _deltas(spark, sf_dir)
-    failed = rows.where("CAST(request_id AS BIGINT) % 7 = 0").select("request_id", F.lit("engine failed").alias("message")).distinct()
-    events = deltas.sse_encode(deltas.stream_events(rows, CleanupOptions(organizer="none", commands=False), failed).where("type IN ('error', 'done')"))
-    return events.select("request_id", "type", "line")
+    events = deltas.stream_events(_deltas(spark, sf_dir), None, _failed(spark, sf_dir))
+    return deltas.sse_encode(events.where("type IN ('error', 'done')")).select("request_id", "type", "line")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder in the cluster's shared one; a folder of our own on a single machine that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{named or 'file://' + tempfile.mkdtemp(prefix='scribewash-')}/{name}-{uuid.uuid4().hex}"
+
+
+def live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of ``stream_events`` with the failures of ``stream_errors``, through the live filter: the rows of
+    every request come in three micro-batches, dealt by a hash, so out of order, and some of them twice."""
+    rows = _deltas(spark, sf_dir).select("*", F.lit(False).alias("is_end"), F.lit(None).cast("string").alias("error"))
+    ends = rows.groupBy("request_id").agg((F.max("seq") + 1).alias("seq")).join(_failed(spark, sf_dir), "request_id", "left")
+    rows = rows.unionByName(ends.select("request_id", "seq", F.lit("").alias("delta"), F.col("message").isNull().alias("is_end"), F.col("message").alias("error")))
+    times = F.when(F.pmod(F.xxhash64("seq", "request_id"), F.lit(5)) == 0, 2).otherwise(1)
+    source, sink = _scratch(spark, "live-in"), _scratch(spark, "live-out")
+    dealt = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).withColumn("batch", F.pmod(F.xxhash64("request_id", "seq", "copy"), F.lit(3)))
+    for k in range(3):  # files are read in the order of their times
+        dealt.where(F.col("batch") == k).drop("copy", "batch").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = live_events(stream, timeout_ms=None).writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    return spark.read.parquet(sink)
+
+
+def cleanup_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean-up with each stage switched off in turn: (stage, conv_id, turn, text)."""
+    off = {"fillers": {"organizer": "none"}, "numerals": {"numerals": False}, "commands": {"commands": False}, "ending": {"strip_trailing_punct": False}}
+    out = [finalize(_decorated(spark, sf_dir), "raw", "text", CleanupOptions(**o)).select(F.lit(k).alias("stage"), "conv_id", "turn", "text") for k, o in off.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw text beside the clean one, with the counters of the whole run: (conv_id, turn, raw, text, n_rows, n_silent)."""
+    counted = Observation("audit")
+    texts = clean(_decorated(spark, sf_dir).withColumn("raw", F.when(F.col("turn") % 4 == 3, "。！").otherwise(F.col("raw"))), "raw", "text", CleanupOptions(log_raw=True), counted)
+    path = _scratch(spark, "audit")
+    texts.write.parquet(path)
+    n = counted.get
+    return spark.read.parquet(path).select("conv_id", "turn", "raw", "text", F.lit(n["rows"]).cast("long").alias("n_rows"), F.lit(n["silent"]).cast("long").alias("n_silent"))
+
+
+def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload of an engine call for every turn, its text's bytes standing for the audio, and the prompt."""
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", F.col("text").cast("binary").alias("content"))
+    return readers.chat_request(rows, "asr", 'say "x"').select("conv_id", "turn", "payload")
 
 
 def queries() -> dict[str, Query]:
@@ -228,19 +352,27 @@ def queries() -> dict[str, Query]:
             _over_documents("tidy_lines", fillers.tidy_lines),
         ]
     )
-    for f in (edit_distance, fuzzy_commands, alias_lookup, profile_table, common_run, prompt_echo, finalize_conversations, finalize_documents, stream_final, stream_events, stream_errors):
+    for f in (edit_distance, fuzzy_commands, alias_lookup, profile_table, common_run, prompt_echo, finalize_conversations, finalize_documents, stream_final, stream_events, stream_errors, live_stream, cleanup_flags, audit, chat_requests):
         found[f.__name__] = f
     found["stream_marker_filter"] = lambda s, d: deltas.marker_filter(_deltas(s, d))
     found["sse_decode"] = lambda s, d: readers.sse_decode(_sse(s, d))
     found["engine_replies"] = _replies
     found["uploads"] = _uploads
     for name, f in _rewrites().items():
-        found[name] = partial(_golden, f, goldens.OPERATORS[name])
-    for name, (organizer, prompt, strip, cases) in goldens.FINALIZE.items():
-        found[name] = partial(_golden_final, CleanupOptions(organizer=organizer, prompt=prompt, strip_trailing_punct=strip), cases)
+        found[name] = partial(_in_front, f, goldens.OPERATORS[name], NUMERAL_LINES.get(name, (None,))[0])
+    found["to_digits"] = _numerals
+    for name in goldens.FINALIZE:
+        found[name] = partial(_at_the_end, *_finals(name))
     return found
 
 
+#: A line with a numeral, and what the operator makes of it (%s: the figures); both as they stand in a text.
+NUMERAL_LINES = {
+    "percent": ("涨了百分之%s。", "涨了%s%。"), "units": ("在%s年里", "在%s年里"), "money": ("付了%s块钱", "付了%s块钱"),
+    "composite_numbers": ("买了%s份", "买了%s份"), "normalize_digits": ("共%s元", "共%s元"),
+}
+
+
 _HS, _PUNCT = r"[ \t\f\v]", C.WEAK + C.STRONG
 _UNMARKED = "regexp_replace(raw, '^\\s*language\\s+[A-Za-z()\\- ]+<asr_text>', '', 'i')"
 
@@ -293,11 +425,35 @@ def _spelled_sql(x: str) -> str:
     return f"list_transform([regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+')], lambda ts: array_to_string(list_filter(ts, lambda t, i: NOT {gone}), ''))[1]"
 
 
+def _organized_sql(x: str) -> str:
+    return _lines_sql(_runs_sql(_dup_sql(_space_sql(_fillers_sql(x)))))
+
+
+def _tokens_sql(x: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z]') THEN {_canon_sql('t')} ELSE t END), '')"
+
+
 def _final_sql(raw: str) -> str:
-    text = f"replace({raw}, '/sil', '')"
-    text = _lines_sql(_runs_sql(_dup_sql(_space_sql(_fillers_sql(text)))))
-    tokens = f"array_to_string(list_transform(regexp_extract_all({_spelled_sql(text)}, '[A-Za-z]+|[^A-Za-z]+'), lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z]') THEN {_canon_sql('t')} ELSE t END), '')"
-    return tokens
+    """All but the speech gate and the ending."""
+    return _tokens_sql(_spelled_sql(_organized_sql(f"replace({raw}, '/sil', '')")))
+
+
+def _spoken_sql(x: str) -> str:
+    return f"list_transform([{x}], lambda t: CASE WHEN regexp_matches(t, '[\\p{{L}}\\p{{N}}]') THEN t ELSE '' END)[1]"
+
+
+def _whole_sql(raw: str) -> str:
+    return _spoken_sql(_ended_sql(_final_sql(raw)))
+
+
+def _events_sql(failed: str) -> str:
+    return f"""{VISIBLE}, joined AS (SELECT request_id, string_agg(delta, '' ORDER BY seq) AS raw FROM deltas GROUP BY 1),
+        live AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY seq) - 1 AS event_seq, text FROM visible WHERE text <> ''),
+        counted AS (SELECT j.request_id, count(l.text) AS n, any_value({_whole_sql(_UNMARKED)}) AS text FROM joined j LEFT JOIN live l USING (request_id) GROUP BY 1)
+        SELECT request_id, event_seq, 'delta' AS type, text, CAST(NULL AS VARCHAR) AS message FROM live
+        UNION ALL SELECT request_id, n, 'final', text, NULL FROM counted WHERE NOT ({failed})
+        UNION ALL SELECT request_id, n + 1, 'done', NULL, NULL FROM counted WHERE NOT ({failed})
+        UNION ALL SELECT request_id, n, 'error', NULL, 'engine failed' FROM counted WHERE {failed}"""
 
 
 def _ended_sql(x: str) -> str:
@@ -310,7 +466,7 @@ def oracle_sql() -> dict[str, str]:
     doc = lambda x: f"SELECT doc_id, {x} AS text FROM documents"
     prompt = ECHO_PROMPT
     bare = prompt.replace(" ", "")
-    n_run = f"coalesce(list_max(list_transform(range(1, 61), lambda k: CASE WHEN len(list_filter(range(1, length(t) - k + 2), lambda i: contains('{prompt}', substr(t, i, k)))) > 0 THEN k ELSE 0 END)), 0)"
+    n_run = f"coalesce(list_max(list_transform(range(1, {len(prompt) + 1}), lambda k: CASE WHEN len(list_filter(range(1, length(t) - k + 2), lambda i: contains('{prompt}', substr(t, i, k)))) > 0 THEN k ELSE 0 END)), 0)"
     k = "greatest(6, CAST(ceil(length(t) * 0.5) AS BIGINT))"
     found = {
         "strip_markers": turn("CASE WHEN conv_id % 4 IN (0, 1) THEN substr(raw, instr(raw, '<asr_text>') + 10) ELSE raw END"),
@@ -329,9 +485,9 @@ def oracle_sql() -> dict[str, str]:
             WHEN lower(token) IN ('claire', 'clare') THEN 'clear' WHEN lower(token) = 'then' THEN 'thing' WHEN lower(token) = 'the' THEN 'heat' END AS canon FROM words)
             SELECT token, canon FROM told WHERE canon IS NOT NULL""",
         "profile_table": "SELECT canon, forms, fuzzy FROM (VALUES ('clear', 'kler,klear', false), ('发送', '发松,发宋,法送,法松,发耸,发颂,发诵', false), ('go', 'gow', false)) AS t(canon, forms, fuzzy)",
-        "common_run": f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST({n_run} AS BIGINT) AS run FROM (SELECT conv_id, turn, substr(text, 1, 60) AS t FROM conversations)",
-        "prompt_echo": f"""WITH x AS (SELECT conv_id, turn, regexp_replace(CASE WHEN conv_id % 3 = 0 THEN '{prompt[8:40]}' || substr(text, 1, CAST(turn * 5 AS BIGINT))
-            ELSE substr(text, 1, 12) END, '\\s+', '', 'g') AS t FROM conversations)
+        "common_run": f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST({n_run} AS BIGINT) AS run FROM (SELECT conv_id, turn, text AS t FROM conversations)",
+        "prompt_echo": f"""WITH x AS (SELECT conv_id, turn, regexp_replace(CASE conv_id % 3 WHEN 0 THEN '{prompt[8:40]}' || repeat('w', turn * 8)
+            WHEN 1 THEN '{prompt[8:40]}' || text ELSE text END, '\\s+', '', 'g') AS t FROM conversations)
             SELECT conv_id, CAST(turn AS BIGINT) AS turn, len(list_filter(range(1, length(t) - {k} + 2), lambda i: contains('{bare}', substr(t, i, {k})))) > 0 AS echo FROM x""",
         "finalize_conversations": f"""WITH {DECORATED}, done AS (SELECT conv_id, turn, {_final_sql(_UNMARKED)} AS t FROM decorated)
             SELECT conv_id, turn, CASE WHEN regexp_matches(t, '[\\p{{L}}\\p{{N}}]') THEN {_ended_sql('t')} ELSE '' END AS text FROM done""",
@@ -339,17 +495,44 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CASE WHEN regexp_matches(t, '[\\p{{L}}\\p{{N}}]') THEN {_ended_sql('t')} ELSE '' END AS text FROM done""",
         "stream_marker_filter": f"WITH {VISIBLE} SELECT request_id, seq, text FROM visible WHERE text <> ''",
         "stream_final": f"""WITH {DELTAS}, joined AS (SELECT request_id, string_agg(delta, '' ORDER BY seq) AS raw FROM deltas GROUP BY 1)
-            SELECT request_id, CASE WHEN regexp_matches({_UNMARKED}, '[A-Za-z]') THEN {_UNMARKED} ELSE '' END AS text FROM joined""",
-        "stream_events": f"""WITH {VISIBLE}, joined AS (SELECT request_id, string_agg(delta, '' ORDER BY seq) AS raw FROM deltas GROUP BY 1),
-            live AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY seq) - 1 AS event_seq, text FROM visible WHERE text <> ''),
-            counted AS (SELECT j.request_id, count(l.text) AS n, any_value(CASE WHEN regexp_matches({_UNMARKED}, '[A-Za-z]') THEN {_UNMARKED} ELSE '' END) AS text FROM joined j LEFT JOIN live l USING (request_id) GROUP BY 1)
-            SELECT request_id, event_seq, 'delta' AS type, text, CAST(NULL AS VARCHAR) AS message FROM live
-            UNION ALL SELECT request_id, n, 'final', text, NULL FROM counted UNION ALL SELECT request_id, n + 1, 'done', NULL, NULL FROM counted""",
+            SELECT request_id, {_whole_sql(_UNMARKED)} AS text FROM joined""",
+        "stream_events": f"WITH {_events_sql('false')}",
+        "live_stream": f"WITH {_events_sql('CAST(request_id AS BIGINT) % 7 = 0')}",
         "stream_errors": f"""WITH {DELTAS} SELECT DISTINCT request_id, CASE WHEN CAST(request_id AS BIGINT) % 7 = 0 THEN 'error' ELSE 'done' END AS type,
             CASE WHEN CAST(request_id AS BIGINT) % 7 = 0 THEN 'data: {{"type":"error","message":"engine failed"}}' ELSE 'data: {{"type":"done"}}' END || chr(10) || chr(10) AS line FROM deltas""",
-        "sse_decode": f"""WITH {DELTAS} SELECT request_id, seq, delta FROM deltas WHERE seq < 3 AND seq % 5 <> 2 AND delta <> ''""",
+        "sse_decode": f"""WITH {DELTAS} SELECT request_id, seq, delta FROM deltas WHERE seq < 45 AND seq NOT IN (2, 3, 4) AND delta <> ''""",
         "engine_replies": "SELECT CAST(case_id AS BIGINT) AS case_id, raw, CAST(status AS BIGINT) AS status FROM (VALUES (0, 'ok', 200), (1, NULL, 502), (2, NULL, 502), (3, NULL, 502), (4, NULL, 502), (5, '', 200)) AS t(case_id, raw, status)",
         "uploads": "SELECT CAST(case_id AS BIGINT) AS case_id, filename, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(status AS BIGINT) AS status FROM (VALUES (0, 'a.wav', 8, 200), (1, 'audio.wav', 8, 200), (2, NULL, NULL, 400), (3, NULL, NULL, 400)) AS t(case_id, filename, n_bytes, status)",
     }
-    found |= {name: goldens.sql(cases) for name, cases in goldens.OPERATORS.items()}
-    return found | {name: goldens.sql(case[3]) for name, case in goldens.FINALIZE.items()}
+    own = {
+        "filter_fillers": _organized_sql("text"), "spelled_letters": _spelled_sql("text"), "cjk_ascii_spacing": _tokens_sql("text"),
+        "normalize_commands": _tokens_sql(_spelled_sql("text")), "ascii_phrases": "text",
+    }
+    lined = lambda values, *rest: "array_to_string(list_filter([" + ", ".join((_dealt_sql(values), *rest)) + "], lambda x: x IS NOT NULL), chr(10))"
+    for name, cases in goldens.OPERATORS.items():
+        line = NUMERAL_LINES.get(name, (None, None))[1]
+        more = ["replace('" + line + f"', '%s', CAST({NUMBER} AS VARCHAR))"] if line else []
+        text = lined(_known(cases)[1], *more, own.get(name, "text"))
+        if name == "filter_fillers":
+            text = f"trim({text}, chr(10))"
+        found[name] = f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, {text} AS text FROM conversations"
+    found["clause_connectors"] = f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, {_dealt_sql(_known(goldens.OPERATORS['clause_connectors'])[1])} AS text FROM conversations"
+    found["to_digits"] = f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST({NUMBER} AS VARCHAR) AS text FROM conversations"
+    for name in goldens.FINALIZE:
+        options, cases = _finals(name)
+        of_text = _final_sql("text") if options.organizer == "rule" else _tokens_sql(_spelled_sql("replace(text, '/sil', '')"))
+        expected = f"{of_text} || chr(10) || {_dealt_sql(_known(cases)[1])}"
+        echo = "CASE WHEN conv_id % 3 = 0 THEN '' ELSE " if options.prompt else "CASE WHEN false THEN '' ELSE "
+        found[name] = f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, {echo}trim({expected}, chr(10)) END AS text FROM conversations"
+    flag = lambda stage, x: f"SELECT '{stage}' AS stage, conv_id, turn, {_spoken_sql(x)} AS text FROM decorated"
+    quiet = f"replace({_UNMARKED}, '/sil', '')"
+    found["cleanup_flags"] = f"WITH {DECORATED} " + " UNION ALL ".join([
+        flag("fillers", _ended_sql(_tokens_sql(_spelled_sql(quiet)))), flag("numerals", _ended_sql(_final_sql(_UNMARKED))),
+        flag("commands", _ended_sql(_organized_sql(quiet))), flag("ending", _final_sql(_UNMARKED)),
+    ])
+    raws = f"{DECORATED}, raws AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '。！' ELSE raw END AS raw FROM decorated)"
+    found["audit"] = f"""WITH {raws}, done AS (SELECT conv_id, turn, raw, {_whole_sql(_UNMARKED)} AS text FROM raws)
+        SELECT *, count(*) OVER () AS n_rows, count(*) FILTER (text = '') OVER () AS n_silent FROM done"""
+    found["chat_requests"] = """SELECT conv_id, CAST(turn AS BIGINT) AS turn, '{"model":"asr","stream":true,"temperature":0.0,"messages":[{"role":"user","content":'
+        || '[{"type":"text","text":"say \\"x\\""},{"type":"input_audio","input_audio":{"data":"' || base64(encode(text)) || '","format":"wav"}}]}]}' AS payload FROM conversations"""
+    return found

@@ -100,10 +100,3 @@ OPERATORS: dict[str, list[tuple[str, str | None]]] = {
     "cjk_aliases": [("发松", "发送"), ("说可丽儿吧", "说 clear 吧"), ("可丽儿可丽儿", "clear  clear")],
     "normalize_commands": [("please C L E A R now", "please clear now"), ("法送一下", "发送一下"), ("Clare", "clear"), ("奥格猫抖的 org mode 配置", None)],
 }
-
-
-def sql(cases: list[tuple[str, str | None]]) -> str:
-    """The expected table (case_id, text) as SQL."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({i}, {quote(a if b is None else b)})" for i, (a, b) in enumerate(cases))
-    return f"SELECT CAST(case_id AS BIGINT) AS case_id, text FROM (VALUES {rows}) AS t(case_id, text)"

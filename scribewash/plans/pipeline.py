@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import commands, fillers, numerals
@@ -90,7 +90,7 @@ def finalize(df: DataFrame, raw: str = "raw", out: str = "text", options: Cleanu
     return df.withColumn(out, F.col(work)).drop(work, chinese)
 
 
-def clean(df: DataFrame, raw: str = "raw", out: str = "text", options: CleanupOptions | None = None, observe: str | None = None) -> DataFrame:
+def clean(df: DataFrame, raw: str = "raw", out: str = "text", options: CleanupOptions | None = None, observe: str | Observation | None = None) -> DataFrame:
     """``df`` with the cleaned column ``out``; with ``log_raw`` or ``observe`` the audit columns and counters, too."""
     o = options or CleanupOptions()
     cleaned = finalize(df, raw, out, o)

@@ -112,7 +112,8 @@ def transcribe(df: DataFrame, engine: Callable[[bytes, str], str], content: str
 
 def chat_request(df: DataFrame, model: str, prompt: str = "", temperature: float = 0.0, content: str = "content") -> DataFrame:
     """Adds payload: the JSON of a streaming chat request, the audio in base64, the prompt as a text part if any."""
-    audio = F.struct(F.lit("input_audio").alias("type"), F.lit(None).cast("string").alias("text"), F.struct(F.base64(content).alias("data"), F.lit("wav").alias("format")).alias("input_audio"))
+    data = F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))  # Spark's base64 breaks lines
+    audio = F.struct(F.lit("input_audio").alias("type"), F.lit(None).cast("string").alias("text"), F.struct(data.alias("data"), F.lit("wav").alias("format")).alias("input_audio"))
     text = F.struct(F.lit("text").alias("type"), F.lit(prompt).alias("text"), F.lit(None).cast("struct<data:string,format:string>").alias("input_audio"))
     parts = F.array(text, audio) if prompt else F.array(audio)
     body = F.struct(F.lit(model).alias("model"), F.lit(True).alias("stream"), F.lit(temperature).alias("temperature"), F.array(F.struct(F.lit("user").alias("role"), parts.alias("content"))).alias("messages"))
