@@ -64,10 +64,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; a table of fewer splits than there are cores, such as one small file, is dealt out."""
+    """The documents. A table of few files, such as the one file of each small test table, is dealt out to the
+    cores; whether it is hangs on the number of files alone, and a table of many files is never shuffled."""
     df = table(spark, sf_dir, "documents")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, 8) else df
 
 
 #: Ids that are broadcast at most: 16 bytes each in the hash table of longs.
