@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -76,18 +78,32 @@ def stages(options: CleanupOptions) -> list[Stage]:
     return [*found, Stage((lambda c: F.when(has_spoken_content(c), ended(c)).otherwise(""),))]
 
 
+_WORK, _CHINESE = "_scribewash_text", "_scribewash_chinese"
+_BUILT: dict[tuple, list[Column]] = {}
+
+
+def _built(options: CleanupOptions) -> list[Column]:
+    """The stages' expressions over the working column. Building them takes some 25,000 calls into the JVM, and they
+    hang on the options alone: those of the last few options are kept."""
+    key = (id(SparkContext._gateway), options.organizer, options.prompt, options.strip_trailing_punct, options.numerals, options.commands, json.dumps(options.profiles))
+    if key not in _BUILT:
+        while len(_BUILT) >= 8:
+            _BUILT.pop(next(iter(_BUILT)))
+        text = F.col(_WORK)
+        _BUILT[key] = [F.when(F.col(_CHINESE), s(text)).otherwise(text) if s.chinese else s(text) for s in stages(options)]
+    return _BUILT[key]
+
+
 def finalize(df: DataFrame, raw: str = "raw", out: str = "text", options: CleanupOptions | None = None) -> DataFrame:
     """``df`` with the cleaned text of ``raw`` as ``out``: empty (never null) if there is no speech in it.
 
     Each stage is a projection over a plain column: the plan grows by one node a stage, is resolved stage
     by stage, and an expression that uses its input twice does not copy the stages before it.
     """
-    work, chinese = "_scribewash_text", "_scribewash_chinese"
-    df = df.withColumns({work: F.col(raw), chinese: F.coalesce(F.col(raw).rlike(CHINESE), F.lit(False))})
-    for stage in stages(options or CleanupOptions()):
-        done = stage(F.col(work))
-        df = df.withColumn(work, F.when(F.col(chinese), done).otherwise(F.col(work)) if stage.chinese else done)
-    return df.withColumn(out, F.col(work)).drop(work, chinese)
+    df = df.withColumns({_WORK: F.col(raw), _CHINESE: F.coalesce(F.col(raw).rlike(CHINESE), F.lit(False))})
+    for done in _built(options or CleanupOptions()):
+        df = df.withColumn(_WORK, done)
+    return df.withColumn(out, F.col(_WORK)).drop(_WORK, _CHINESE)
 
 
 def clean(df: DataFrame, raw: str = "raw", out: str = "text", options: CleanupOptions | None = None, observe: str | Observation | None = None) -> DataFrame:

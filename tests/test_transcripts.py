@@ -194,3 +194,33 @@ def test_engine_hook(spark):
 
     df = spark.createDataFrame([(bytearray(b"x"), "a"), (bytearray(b"x"), "bad")], "content binary, filename string")
     assert [(r.raw, r.status, r.error) for r in readers.transcribe(df, engine).orderBy("filename").collect()] == [("ok", 200, None), (None, 502, "down")]
+
+
+def test_building_the_clean_up_again_is_quick(spark):
+    import time
+
+    df = spark.createDataFrame([], "raw string")
+    finalize(df)
+    start = time.time()
+    finalize(df)
+    assert time.time() - start < 2
+
+
+def test_numerals_that_other_readings_differ_on(spark):
+    """Kept as they are, or read by place; a number without its last place value is read as it stands."""
+    assert apply(spark, numerals.to_digits, "一百三", "两千零五", "万五", "一二百") == ["103", "2005", "10005", "一二百"]
+
+
+def test_server_sent_content_must_be_a_string(spark):
+    lines = ['data: {"choices":[{"delta":{"content":%s}}]}' % x for x in ('"5"', "5", "null", "{}", '""')]
+    df = spark.createDataFrame([("r", i, x) for i, x in enumerate(lines)], "request_id string, seq long, line string")
+    assert [(r.seq, r.delta) for r in readers.sse_decode(df).collect()] == [(0, "5")]
+
+
+def test_audio_in_a_request_has_no_line_breaks(spark):
+    import base64
+    import json
+
+    row = readers.chat_request(spark.createDataFrame([(bytes(range(256)),)], "content binary"), "m").first()
+    sent = json.loads(row.payload)["messages"][0]["content"][0]["input_audio"]["data"]
+    assert base64.b64decode(sent, validate=True) == bytes(range(256))
