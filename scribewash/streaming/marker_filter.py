@@ -17,11 +17,12 @@ Timeouts are in processing time; with ``event_time`` (a timestamp column with a
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import constants as C
@@ -116,22 +117,45 @@ def _updater(tag: str, hold: int, timeout_ms: int | None, timed: bool):
     return update
 
 
-def live_events(
-    deltas: DataFrame, options: CleanupOptions | None = None, timeout_ms: int | None = 600_000, event_time: str | None = None
-) -> DataFrame:
-    """A stream of (request_id, event_seq, type, text, message); the final text has gone through the clean-up.
-
-    Without a timeout (None) only an end or error row closes a request, and closed requests are remembered for
-    good: for bounded inputs. A query that is to stop by itself when all input is read (availableNow) needs that
-    or ``event_time``, as pending processing-time timeouts keep it running.
-    """
+def _events(deltas: DataFrame, timeout_ms: int | None, event_time: str | None) -> DataFrame:
+    """The stream of OUTPUT: final texts as they were said."""
     timed = event_time is not None and timeout_ms is not None
     error = F.col("error").cast("string") if "error" in deltas.columns else F.lit(None).cast("string")
     at = [F.col(event_time), F.unix_millis(event_time).alias("at_ms")] if timed else []
     rows = deltas.select("request_id", "seq", "delta", F.coalesce("is_end", F.lit(False)).alias("is_end"), error.alias("error"), *at)
     update = _updater(C.STREAM_TAG, C.STREAM_HOLD, timeout_ms, timed)
     waits = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.ProcessingTimeTimeout
-    events = rows.groupBy("request_id").applyInPandasWithState(update, OUTPUT, STATE, "append", waits)
+    return rows.groupBy("request_id").applyInPandasWithState(update, OUTPUT, STATE, "append", waits)
+
+
+def _cleaned(events: DataFrame, options: CleanupOptions | None) -> DataFrame:
     cleaned = finalize(events.withColumn("_raw", F.when(F.col("type") == "final", F.col("raw"))), "_raw", "_final", options)
     text = F.when(F.col("type") == "final", F.col("_final")).when(F.col("type") == "delta", F.col("raw"))
     return cleaned.select("request_id", "event_seq", "type", text.alias("text"), "message")
+
+
+def live_events(
+    deltas: DataFrame, options: CleanupOptions | None = None, timeout_ms: int | None = 600_000, event_time: str | None = None
+) -> DataFrame:
+    """A stream of (request_id, event_seq, type, text, message); the final text has gone through the clean-up.
+
+    Without a timeout (None) only an end or error row closes a request, and closed requests are remembered for
+    good: for bounded inputs. A query that is to stop by itself when all input is read (availableNow) needs that
+    or ``event_time``, as pending processing-time timeouts keep it running.
+    """
+    return _cleaned(_events(deltas, timeout_ms, event_time), options)
+
+
+def write_live_events(
+    deltas: DataFrame, path: str, checkpoint: str, options: Callable[[], CleanupOptions], timeout_ms: int | None = 600_000, event_time: str | None = None
+) -> DataStreamWriter:
+    """As ``live_events``, appended to ``path`` as Parquet, the options asked for anew in every micro-batch.
+
+    So a changed dictionary (``read_profiles``) takes effect without a restart. A batch that is run again after a
+    failure writes its own folder (``batch=N``) again, not a second copy.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        _cleaned(batch, options()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return _events(deltas, timeout_ms, event_time).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)

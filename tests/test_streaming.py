@@ -110,3 +110,28 @@ def test_event_time_closes_silent_requests(spark, tmp_path):
         query.stop()
     done = {r.request_id for r in spark.table("timed").where("type = 'done'").collect()}
     assert {"s", "t", "u"} == done
+
+
+def test_options_are_read_anew_in_every_batch(spark, tmp_path):
+    """The dictionary changes between two micro-batches."""
+    from scribewash.functions.commands import load_profiles
+    from scribewash.plans.pipeline import CleanupOptions
+
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    for k, name in enumerate(("one", "two")):
+        part = [(name, 0, "say gow now", False, None), (name, 1, None, True, None)]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").json(str(src))
+    asked = []
+
+    def options():
+        asked.append(1)
+        return CleanupOptions(profiles=load_profiles(extra_json='{"go": ["gow"]}' if len(asked) > 1 else None))
+
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(src))
+    query = marker_filter.write_live_events(stream, out, str(tmp_path / "ck"), options, timeout_ms=None).trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(240)
+    finally:
+        query.stop()
+    finals = sorted(r.text for r in spark.read.parquet(out).where("type = 'final'").collect())
+    assert len(asked) == 2 and finals == ["say go now", "say gow now"]
