@@ -285,6 +285,15 @@ def decontaminate(
     length = lambda *by: F.max("item_at").over(W.partitionBy(*pair, "line", *by)) - F.min("item_at").over(W.partitionBy(*pair, "line", *by)) + WINDOW
     near = materialise(near.withColumn("run", length("island")).withColumn("copy_run", length("verbatim", "copied")), "near")
 
+    # A line with all windows of the item, every slot equal, is the best alignment there can be: share and consistency
+    # are one, all slots are equal, no run is longer, no alignment without other slots has more. The rest is for others.
+    whole = near.groupBy(*pair, "line").agg(
+        F.count(F.lit(1)).alias("n"), F.max("n_windows").alias("n_windows"), F.max("run").alias("run_tokens"), F.bool_and("verbatim").alias("all"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s"),
+    ).where((F.col("n") == F.col("n_windows")) & F.col("all"))
+    whole = materialise(whole.groupBy(*pair).agg(F.max("run_tokens").cast("long").alias("run_tokens"), F.max(F.size("s")).cast("long").alias("n_slots")), "whole")
+    near = near.alias("l").join(whole.alias("r"), both, "left_anti")
+
     # Members of every alignment: (way, where); "offsets" takes for each window of the item its hits nearest to the centre.
     place = lambda way, where, run="run": F.struct(F.lit(way).alias("way"), where.alias("where"), F.col(run).alias("run"))
     at = lambda *cols: F.concat_ws(" ", *cols)
@@ -312,6 +321,8 @@ def decontaminate(
         F.forall("s", lambda x: x["a"].eqNullSafe(x["b"])).alias("equal"), F.size("s").cast("long").alias("n_slots"),
     )
     passed = ways.where(((F.col("share") >= SIMILARITY) | (F.col("run_tokens") >= RUN_TOKENS)) & (F.col("consistency") >= CONSISTENCY))
+    passed = passed.select(*pair, "share", "consistency", "equal", "run_tokens", "n_slots")
+    passed = passed.unionByName(whole.select(*pair, F.lit(1.0).alias("share"), F.lit(1.0).alias("consistency"), F.lit(True).alias("equal"), "run_tokens", "n_slots"))
     best = passed.groupBy(*pair).agg(F.max(F.struct("share", "consistency", "equal", "run_tokens", "n_slots")).alias("m"))
     return best.select(
         F.col("doc").alias(doc_id), F.col("item").alias(item_id), "m.share", "m.run_tokens", "m.n_slots", "m.consistency",
