@@ -13,8 +13,8 @@ id. Equal strings must meet in one place, sorted, without sorting all suffixes o
    bucket, equal segments of a block once. There the segments' suffixes are sorted by difference cover
    (DC3: sort the sampled triples, recurse on their names, sort the rest by one character and a sample
    rank, merge); adjacent suffixes that agree in MIN_LEN bytes form a class, and a class knows its least id.
-   Anchors in very many documents are hot: their windows are sent one by one, dealt by the window's own
-   hash, so that no bucket receives a hot anchor whole.
+   Anchors in very many different segments are hot: their windows are sent one by one, dealt by the window's
+   own hash, so that no bucket receives a hot anchor whole.
 4. Blocks get the least ids of their windows back, mark what is covered, and cut it out.
 
 Defined results: a null text is empty; texts shorter than MIN_LEN lose nothing; a null id counts as
@@ -23,8 +23,8 @@ rows; other columns are passed through if named in ``keep``, and the result's ow
 ``prefix`` where those columns have them. A block holds whole documents: one document must fit a task's memory.
 
 Growth: a block sends one message to each bucket that one of its anchors falls into, so messages grow with
-blocks times buckets until a message holds a single anchor; from there on (about 1 TB with the sizes
-below) they grow with the anchors, as the rows of a join on the anchor would.
+blocks times buckets until a message holds a single anchor; from there on they grow with the anchors, as the
+rows of a join on the anchor would. What is done for each message is only to press and unpress it.
 """
 
 from __future__ import annotations
@@ -46,10 +46,12 @@ from .common import materialise, release_shuffles, utf8
 MIN_LEN = 50
 #: Bytes of the k-grams that anchors are taken from.
 GRAM = 20
-#: Bytes in a block, in a piece whose hashes are held at once, of the corpus for each bucket.
-BLOCK_BYTES, PIECE, BUCKET_BYTES = 4 << 20, 1 << 20, 8 << 20
-#: Windows in a segment at most; documents (counted by block) from which an anchor is hot.
-MAX_RUN, HOT = 64, 2000
+#: Bytes in a block, in a piece that is hashed at once (in a core's cache), of the corpus for each bucket that sorts.
+BLOCK_BYTES, PIECE, BUCKET_BYTES = 8 << 20, 1 << 16, 16 << 20
+#: Bytes of segments that a block gathers at once.
+GATHER_BYTES = 8 << 20
+#: Windows in a segment at most; different segments (counted by block) from which an anchor is hot.
+MAX_RUN, HOT = 64, 10_000
 #: Bytes of segments whose suffixes are sorted at once: bounds the sort's memory.
 SORT_BYTES = 1 << 18
 NO_ID = np.iinfo(np.int64).max
@@ -92,16 +94,17 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - m)], h[w - m :]) if m < w else h
 
 
-def anchor_runs(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor of 48 bits, start, number of windows) of runs of windows that lie in one document."""
+def anchor_runs(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor of 48 bits, start, number of windows, hash of both ends) of runs of windows that lie in one document."""
     starts = np.concatenate([[0], ends[:-1]])
     valid_to = ends - MIN_LEN + 1  # first start in each document that has no window
-    anchors, begins, sizes = [], [], []
+    anchors, begins, sizes, looks = [], [], [], []
     for a in range(0, len(body), PIECE):
         part = body[a : a + PIECE + MIN_LEN - 1]
         if len(part) < MIN_LEN:
             break
-        least = sliding_min(gram_hashes(part, GRAM) >> np.uint64(16), MIN_LEN - GRAM + 1)
+        grams = gram_hashes(part, GRAM)
+        least = sliding_min(grams >> np.uint64(16), MIN_LEN - GRAM + 1)
         n = len(least)
         ok = np.zeros(n + 1, np.int8)
         i = np.searchsorted(ends, a, side="right")
@@ -127,9 +130,10 @@ def anchor_runs(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
             size = np.minimum(size[of] - nth * MAX_RUN, MAX_RUN)
             first = first[of] + nth * MAX_RUN
         anchors.append(_spread(least[first])), begins.append(first + a), sizes.append(size)
+        looks.append(_mix(grams[first] + size.astype(np.uint64)) + grams[first + size + MIN_LEN - GRAM - 1])
     if not anchors:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(anchors), np.concatenate(begins), np.concatenate(sizes)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(anchors), np.concatenate(begins), np.concatenate(sizes), np.concatenate(looks)
 
 
 def pack48(h: np.ndarray) -> bytes:
@@ -150,6 +154,32 @@ def _unpress(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of ``n`` numbers each, one after the other."""
+    out = np.repeat(start - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
+
+
+def _gather(raw: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.empty(int(n.sum()), np.uint8)
+    at = 0
+    for a in range(0, len(start), 1 << 14):
+        some = raw[_ranges(start[a : a + (1 << 14)], n[a : a + (1 << 14)])]
+        out[at : at + len(some)] = some
+        at += len(some)
+    return out
+
+
+def _distinct(raw: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of strings of ``n`` bytes that stand one after the other: the distinct ones, in the order in which they
+    come first, as their bytes and offsets; and for each string, which it is."""
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    _, at, data = coded.dictionary.buffers()
+    return np.frombuffer(data, np.uint8), np.frombuffer(at, np.int64)[: len(coded.dictionary) + 1], coded.indices.to_numpy()
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """DC3. ``s``: positive integers under 2**31."""
     n = len(s)
@@ -182,10 +212,12 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     i0 = i0[np.argsort((t[i0] << 32) | rank[i0 + 1])]
     one, two = by_rank[by_rank % 3 == 1], by_rank[by_rank % 3 == 2]
     before_one = np.searchsorted((t[one] << 32) | rank[one + 1], (t[i0] << 32) | rank[i0 + 1])
-    # Two characters and a rank do not fit one integer: the pairs of characters get names of their own.
-    pair = lambda i: (t[i] << 31) | t[i + 1]
-    pairs = np.unique(np.concatenate([pair(two), pair(i0)]))
-    full = lambda i: (np.searchsorted(pairs, pair(i)) << 32) | rank[i + 2]
+    if int(s.max()) < 1 << 21 and n < 1 << 21:
+        full = lambda i: (t[i] << 42) | (t[i + 1] << 21) | rank[i + 2]
+    else:  # two characters and a rank do not fit one integer: the pairs of characters get names of their own
+        pair = lambda i: (t[i] << 31) | t[i + 1]
+        pairs = np.unique(np.concatenate([pair(two), pair(i0)]))
+        full = lambda i: (np.searchsorted(pairs, pair(i)) << 32) | rank[i + 2]
     before_two = np.searchsorted(full(two), full(i0))
     out = np.empty(n, np.int64)
     places = np.arange(len(i0)) + before_one + before_two
@@ -196,18 +228,17 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_ids(segments: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """For each window of each (distinct) segment: the least id of the segments that hold the window."""
-    lens = np.array([len(x) for x in segments], np.int64)
-    if not len(lens):
-        return []
-    raw = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
-    ends = np.cumsum(lens + 1) - 1  # of the terminators
-    s = raw.astype(np.int64) + len(segments) + 1
-    s[ends] = np.arange(1, len(segments) + 1)
+def least_ids(raw: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each window of each (distinct) segment: the least id of the segments that hold the window.
+
+    ``raw``: the segments, a byte after each; ``ends``: the places of these bytes.
+    """
+    lens = np.diff(ends, prepend=-1)  # with the byte after
+    s = raw.astype(np.int64) + len(ends) + 1
+    s[ends] = np.arange(1, len(ends) + 1)
     sa = suffix_array(s)
-    seg_of = np.repeat(np.arange(len(segments)), lens + 1)
-    starts_window = np.arange(len(s)) + MIN_LEN <= ends[seg_of]
+    seg_of = np.repeat(np.arange(len(ends)), lens)
+    starts_window = np.arange(len(s)) + MIN_LEN <= np.repeat(ends, lens)
     sa = sa[starts_window[sa]]
     windows = np.lib.stride_tricks.sliding_window_view(raw, MIN_LEN)
     new = np.ones(len(sa), bool)
@@ -218,43 +249,40 @@ def least_ids(segments: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     least = np.minimum.reduceat(ids[seg_of[sa]], heads)
     of = np.full(len(s), NO_ID, np.int64)
     of[sa] = least[np.cumsum(new) - 1]
-    begin = ends - lens
-    return [of[a : a + n - MIN_LEN + 1] for a, n in zip(begin.tolist(), lens.tolist())]
+    return of[starts_window]
 
 
-def least_ids_in_parts(segments: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """``least_ids``, sorted in parts of about SORT_BYTES.
+def least_ids_in_parts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """``least_ids`` of distinct segments, sorted in parts of about SORT_BYTES.
 
     Equal windows have one anchor, so segments of different anchors need not meet, and a segment that is
     the only one of its anchor has no window in another segment.
     """
-    if not segments:
-        return []
-    anchor = np.empty(len(segments), np.uint64)
+    begin, size = offsets[:-1], np.diff(offsets)
+    windows = size - MIN_LEN + 1
+    first = np.cumsum(windows) - windows
+    out = np.repeat(ids, windows)
+    anchor = np.empty(len(ids), np.uint64)
     step = 1 << 14
-    for a in range(0, len(segments), step):
-        first = np.frombuffer(b"".join([x[:MIN_LEN] for x in segments[a : a + step]]), np.uint8)
-        h = gram_hashes(first, GRAM) >> np.uint64(16)
+    for a in range(0, len(ids), step):
+        h = gram_hashes(data[begin[a : a + step, None] + np.arange(MIN_LEN)].ravel(), GRAM) >> np.uint64(16)
         h = np.append(h, np.zeros(GRAM - 1, np.uint64)).reshape(-1, MIN_LEN)[:, : MIN_LEN - GRAM + 1]
         anchor[a : a + step] = h.min(axis=1)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segments)
-    order = np.argsort(anchor, kind="stable")
+    order = np.argsort(anchor)
     sorted_ = anchor[order]
-    head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    many = np.diff(np.append(head, len(order))) > 1
-    for i in order[head[~many]].tolist():
-        out[i] = np.full(len(segments[i]) - MIN_LEN + 1, ids[i])
-    held: list[int] = []
-    size = 0
-    ends = np.append(head[1:], len(order))
-    last = ends[many][-1] if many.any() else 0
-    for a, b in zip(head[many].tolist(), ends[many].tolist()):
-        held += order[a:b].tolist()
-        size += sum(len(segments[i]) for i in order[a:b].tolist())
-        if size >= SORT_BYTES or b == last:
-            for i, least in zip(held, least_ids([segments[i] for i in held], ids[held])):
-                out[i] = least
-            held, size = [], 0
+    counts = np.diff(np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])))
+    many = counts > 1
+    held = order[np.repeat(many, counts)]
+    ends = np.cumsum(counts[many])  # of the anchors in ``held``
+    total = np.concatenate([[0], np.cumsum(size[held])])
+    padded = np.append(data, np.uint8(0))
+    a = 0
+    while a < len(held):
+        b = int(ends[min(np.searchsorted(total[ends], total[a] + SORT_BYTES), len(ends) - 1)])
+        part = held[a:b]
+        raw = _gather(padded, begin[part], size[part] + 1)
+        out[_ranges(first[part], windows[part])] = least_ids(raw, np.cumsum(size[part] + 1) - 1, ids[part])
+        a = b
     return out
 
 
@@ -311,18 +339,27 @@ def _open(row: dict) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     return body, np.frombuffer(body, np.uint8), np.cumsum(np.frombuffer(row["lens"], "<i8")), np.frombuffer(row["ids"], "<i8")
 
 
-def _held(anchors: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct anchors, sorted, and by how many of its documents each is held (255 at most)."""
-    doc = np.searchsorted(ends, begins, side="right")
-    order = np.lexsort((doc, anchors))
-    h, d = anchors[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h = h[new]
-    if not len(h):
-        return h, np.zeros(0, np.uint8)
-    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[head], np.minimum(np.diff(np.append(head, len(h))), 255).astype(np.uint8)
+def _held(anchors: np.ndarray, begins: np.ndarray, ends: np.ndarray, looks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct anchors, sorted, and of each: 1 if one of its documents holds it, else by how many
+    different segments it is held, 2 to 255 (by the hashes of their ends: this decides what is hot only)."""
+    order = np.argsort(anchors)
+    h = anchors[order]
+    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    n = np.ones(len(head), np.uint8)
+    runs = np.diff(np.append(head, len(h)))
+    if len(several := np.flatnonzero(runs > 1)):
+        size = runs[several]
+        at = order[_ranges(head[several], size)]
+        doc = np.searchsorted(ends, begins[at], side="right")
+        first = np.cumsum(size) - size
+        shared = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        of, look = np.repeat(np.arange(len(several)), size), looks[at]
+        by_look = np.lexsort((look, of))
+        of, look = of[by_look], look[by_look]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (look[1:] != look[:-1])
+        n[several[shared]] = np.clip(np.add.reduceat(new, first, dtype=np.int64), 2, 255)[shared]
+    return h[head], n
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -337,13 +374,19 @@ def _cuts(buckets: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(buckets[at].tolist(), at.tolist(), np.append(at[1:], len(buckets)).tolist()))
 
 
+def _bucket_counts(total: int) -> tuple[int, int]:
+    """Buckets that are asked, and that sort, for so many bytes. A message costs time whatever it holds, and there is
+    one for each block and bucket: both are as large as a task's memory allows."""
+    return max(16, -(-total // (2 * BUCKET_BYTES))), max(64, -(-total // BUCKET_BYTES))
+
+
 def _ask(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 _, body, ends, _ = _open(row)
-                anchors, begins, _ = anchor_runs(body, ends)
-                h, n = _held(anchors, begins, ends)
+                anchors, begins, _, looks = anchor_runs(body, ends)
+                h, n = _held(anchors, begins, ends, looks)
                 cuts = _cuts(_bucket(h, n_buckets))
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -358,7 +401,7 @@ def _ask(n_buckets: int):
 
 
 def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: a mark for every anchor asked for: 0 in one document, 1 in more, 2 in very many."""
+    """Of one bucket: a mark for every anchor asked for: 0 in one document, 1 in more, 2 in very many segments."""
     asked = [unpack48(x) for x in pdf["anchors"]]
     every = np.concatenate(asked)
     n = np.concatenate([np.frombuffer(_unpress(x), np.uint8) for x in pdf["held"]])
@@ -369,88 +412,96 @@ def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "marks": [_press(x.tobytes()) for x in np.split(marks, cut)]})
 
 
-def _candidates(row: dict) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Body, ends, ids, and of the repeated runs: key, start, windows. Hot runs are single windows."""
-    body, raw, ends, ids = _open(row)
-    anchors, begins, sizes = anchor_runs(raw, ends)
-    h, _ = _held(anchors, begins, ends)
+    _, raw, ends, ids = _open(row)
+    anchors, begins, sizes, _ = anchor_runs(raw, ends)
     told = sorted(row["marks"], key=lambda x: x["bucket"]) if row["marks"] else []
-    marks = np.concatenate([np.frombuffer(_unpress(x["marks"]), np.uint8) for x in told]) if told else np.zeros(0, np.uint8)
-    mark = marks[np.searchsorted(h, anchors)] if len(anchors) else np.zeros(0, np.uint8)
+    mark = np.zeros(0, np.uint8)
+    if told:
+        marks = np.concatenate([np.frombuffer(_unpress(x["marks"]), np.uint8) for x in told])  # of the distinct anchors, sorted
+        mark = marks[np.unique(anchors, return_inverse=True)[1]]
     keys, at, size = [anchors[mark == 1]], [begins[mark == 1]], [sizes[mark == 1]]
     if (hot := mark == 2).any():
-        single = np.repeat(begins[hot], sizes[hot]) + np.arange(sizes[hot].sum()) - np.repeat(np.cumsum(sizes[hot]) - sizes[hot], sizes[hot])
+        single = _ranges(begins[hot], sizes[hot])
         windows = np.lib.stride_tricks.sliding_window_view(raw, MIN_LEN)
         for a in range(0, len(single), 1 << 14):
             some = single[a : a + (1 << 14)]
             keys.append(gram_hashes(windows[some].ravel(), MIN_LEN)[::MIN_LEN] >> np.uint64(16))
             at.append(some), size.append(np.ones(len(some), np.int64))
-    return body, ends, ids, np.concatenate(keys), np.concatenate(at), np.concatenate(size)
+    return raw, ends, ids, np.concatenate(keys), np.concatenate(at), np.concatenate(size)
 
 
 def _segments(row: dict, n_buckets: int):
-    """Yields (bucket, distinct segments in order, runs: index of each one's segment, start, document)."""
-    body, ends, ids, keys, at, size = _candidates(row)
+    """Yields, for some buckets at a time: (bucket, from, to) of the distinct segments, their bytes and offsets;
+    runs: index of each one's segment, start, id of the document."""
+    raw, ends, ids, keys, at, size = _candidates(row)
     buckets = _bucket(keys, n_buckets)
-    order = np.lexsort((at, buckets))
-    buckets, at, size = buckets[order], at[order], size[order]
-    doc = np.searchsorted(ends, at, side="right")
-    begin, end = at.tolist(), (at + size + MIN_LEN - 1).tolist()
-    for bucket, a, b in _cuts(buckets):
-        index: dict[bytes, int] = {}
-        of = [index.setdefault(body[i:j], len(index)) for i, j in zip(begin[a:b], end[a:b])]
-        yield bucket, list(index), of, at[a:b], doc[a:b], ids
+    order = np.argsort(buckets, kind="stable")
+    buckets, at, n = buckets[order], at[order], size[order] + MIN_LEN - 1
+    bounds = np.array([a for _, a, _ in _cuts(buckets)] + [len(at)])
+    total = np.concatenate([[0], np.cumsum(n)])
+    a = 0
+    while a < len(at):
+        b = int(bounds[np.searchsorted(total[bounds], min(total[a] + GATHER_BYTES, total[-1]))])
+        data, offsets, of = _distinct(_gather(raw, at[a:b], n[a:b]), n[a:b])
+        # Equal segments have one key and the rows are in the buckets' order, so the distinct ones are as well.
+        bucket = np.empty(len(offsets) - 1, np.int64)
+        bucket[of] = buckets[a:b]
+        yield _cuts(bucket), data, offsets, of, at[a:b], ids[np.searchsorted(ends, at[a:b], side="right")]
+        a = b
 
 
 def _send(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             for row in batch.to_pylist():
-                out: dict[str, list] = {"bucket": [], "block": [], "lens": [], "least": [], "bytes": []}
-                for bucket, segments, of, _, doc, ids in _segments(row, n_buckets):
-                    least = np.full(len(segments), NO_ID, np.int64)
-                    np.minimum.at(least, np.array(of), ids[doc])
-                    out["bucket"].append(bucket), out["block"].append(row["block"])
-                    out["lens"].append(_press(np.array(list(map(len, segments)), "<i4").tobytes()))
-                    out["least"].append(_press(least.astype("<i8").tobytes()))
-                    out["bytes"].append(_press(b"".join(segments)))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+                for cuts, data, offsets, of, _, doc in _segments(row, n_buckets):
+                    least = np.full(len(offsets) - 1, NO_ID, np.int64)
+                    np.minimum.at(least, of, doc)
+                    lens = np.diff(offsets).astype("<i4")
+                    out = [[c[0] for c in cuts], [row["block"]] * len(cuts)]
+                    out += [[press(x[a:b]) for _, a, b in cuts] for x in (lens, least.astype("<i8"))]
+                    out.append([press(data[offsets[a] : offsets[b]]) for _, a, b in cuts])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["bucket", "block", "lens", "least", "bytes"])
 
     return run
 
 
 def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: for every block, the least ids of all windows of its segments, in their order."""
-    index: dict[bytes, int] = {}
-    wanted, least = [], []
-    for lens, ids, raw in zip(pdf["lens"], pdf["least"], pdf["bytes"]):
-        ends = np.cumsum(np.frombuffer(_unpress(lens), "<i4"))
-        raw = _unpress(raw)
-        wanted.append([index.setdefault(raw[a:b], len(index)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())])
-        least.append(np.frombuffer(_unpress(ids), "<i8"))
-    ids = np.full(len(index), NO_ID, np.int64)
-    for of, some in zip(wanted, least):
-        np.minimum.at(ids, np.array(of), some)
-    found = least_ids_in_parts(list(index), ids)
-    reply = [_press(np.concatenate([found[i] for i in of]).astype("<i8").tobytes()) for of in wanted]
+    press, unpress = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+    lens = [np.frombuffer(unpress(x), "<i4") for x in pdf["lens"]]
+    raw = np.frombuffer(b"".join([unpress(x) for x in pdf["bytes"]]), np.uint8)
+    data, offsets, of = _distinct(raw, np.concatenate(lens))
+    del raw
+    ids = np.full(len(offsets) - 1, NO_ID, np.int64)
+    np.minimum.at(ids, of, np.frombuffer(b"".join([unpress(x) for x in pdf["least"]]), "<i8"))
+    found = least_ids_in_parts(data, offsets, ids)
+    windows = np.diff(offsets) - MIN_LEN + 1
+    first = np.cumsum(windows) - windows
+    reply, a = [], 0
+    for x in lens:
+        some = of[a : a + len(x)]
+        reply.append(press(found[_ranges(first[some], windows[some])].astype("<i8", copy=False)))
+        a += len(x)
     return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "least": reply})
 
 
 def _spans(row: dict, n_buckets: int, told: dict[int, bytes]) -> np.ndarray:
-    """0/1 for each byte of the block: 1 is removed."""
-    cover = np.zeros(row["n_bytes"] + 1, np.int32)
-    for bucket, segments, of, at, doc, ids in _segments(row, n_buckets):
-        least = np.frombuffer(_unpress(told[bucket]), "<i8")
-        n = np.array([len(x) - MIN_LEN + 1 for x in segments], np.int64)
-        first = np.cumsum(n) - n
-        of = np.array(of)
+    """For each byte of the block: is it removed."""
+    unpress = zstandard.ZstdDecompressor().decompress
+    gone = np.zeros(row["n_bytes"] + MIN_LEN, np.int32)  # MIN_LEN places further on
+    for cuts, _, offsets, of, at, doc in _segments(row, n_buckets):
+        least = np.frombuffer(b"".join([unpress(told[bucket]) for bucket, _, _ in cuts]), "<i8")
+        n = np.diff(offsets) - MIN_LEN + 1
         windows = n[of]
-        nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        gone = least[np.repeat(first[of], windows) + nth] < np.repeat(ids[doc], windows)
-        starts = (np.repeat(at, windows) + nth)[gone]
-        np.add.at(cover, starts, 1), np.add.at(cover, starts + MIN_LEN, -1)
-    return np.cumsum(cover[:-1]) > 0
+        later = least[_ranges((np.cumsum(n) - n)[of], windows)] < np.repeat(doc, windows)
+        gone[_ranges(at + MIN_LEN, windows)[later]] = 1
+    np.cumsum(gone, out=gone)
+    return gone[MIN_LEN:] > gone[:-MIN_LEN]
 
 
 def _cut(n_buckets: int, names: list[str], schema: pa.Schema, as_text: bool):
@@ -492,14 +543,13 @@ def suffix_dedup(
     spark = docs.sparkSession
     blocks = materialise(_blocks(docs, doc_id, text, keep), "blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    n_buckets = max(16, -(-total // BUCKET_BYTES))
+    n_buckets, n_sorts = _bucket_counts(total)
     asked = blocks.select("block", "n_bytes", "ids", "lens", "body").mapInArrow(_ask(n_buckets), "bucket long, block long, anchors binary, held binary")
     marks = materialise(asked.groupBy("bucket").applyInPandas(_mark, "block long, bucket long, marks binary"), "marks")
     release_shuffles(spark)
 
     of_block = marks.groupBy("block").agg(F.collect_list(F.struct("bucket", "marks")).alias("marks"))  # a block's own
     marked = blocks.join(of_block, "block", "left")
-    n_sorts = 4 * n_buckets
     sent = marked.drop("keep").mapInArrow(_send(n_sorts), "bucket long, block long, lens binary, least binary, bytes binary")
     replies = materialise(sent.groupBy("bucket").applyInPandas(_sort_bucket, "block long, bucket long, least binary"), "least")
     release_shuffles(spark)

@@ -7,6 +7,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -157,6 +159,40 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot, block, piece,
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter((i, *x) for (i, _), x in zip(rows, brute_cut(rows)))
 
 
+def test_suffix_dedup_gathers_in_parts(spark, monkeypatch):
+    for name, v in (("HOT", 6), ("BLOCK_BYTES", 9000), ("GATHER_BYTES", 700), ("SORT_BYTES", 200)):
+        monkeypatch.setattr(suffix_dedup, name, v)
+    rows = passages(seed=6)
+    got = suffix_dedup.suffix_dedup(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter((i, *x) for (i, _), x in zip(rows, brute_cut(rows)))
+
+
+def test_suffix_dedup_messages_at_size():
+    """10 GB of text: a message costs time whatever it holds, so there are far fewer than a million of either kind."""
+    asked, sorted_ = suffix_dedup._bucket_counts(10 << 30)
+    blocks = (10 << 30) / suffix_dedup.BLOCK_BYTES
+    assert blocks * asked < 1e6 and blocks * sorted_ < 1e6
+
+
+def test_suffix_dedup_passage_of_many_documents_is_not_sent_by_windows():
+    """A passage of 3000 documents: less is sent than its texts have, and equal segments once."""
+    rng = random.Random(3)
+    passage = prose(rng, 90).encode()[:300]
+    texts = [rng.randbytes(20).hex().encode() + passage + rng.randbytes(20).hex().encode() for _ in range(3000)]
+    rows = []
+    for k in range(0, 3000, 250):
+        some = texts[k : k + 250]
+        ids, lens = np.arange(k, k + 250).astype("<i8").tobytes(), np.array([len(t) for t in some], "<i8").tobytes()
+        rows.append({"block": k, "n_bytes": sum(map(len, some)), "ids": ids, "lens": lens, "body": suffix_dedup._press(b"".join(some))})
+    asked = pd.concat([b.to_pandas() for b in suffix_dedup._ask(4)(iter([pa.RecordBatch.from_pylist(rows)]))])
+    marks = pd.concat([suffix_dedup._mark(g) for _, g in asked.groupby("bucket")])
+    for row in rows:
+        row["marks"] = marks[marks["block"] == row["block"]][["bucket", "marks"]].to_dict("records")
+    sent = pd.concat([b.to_pandas() for b in suffix_dedup._send(4)(iter([pa.RecordBatch.from_pylist(rows)]))])
+    n_bytes = sum(len(suffix_dedup._unpress(b)) for b in sent["bytes"])
+    assert 12 * len(passage) < n_bytes < sum(map(len, texts))
+
+
 def test_suffix_array():
     rng = random.Random(4)
     for _ in range(200):
