@@ -47,9 +47,9 @@ MIN_LEN = 50
 #: Bytes of the k-grams that anchors are taken from.
 GRAM = 20
 #: Bytes in a block, in a piece that is hashed at once (in a core's cache), of the corpus for each bucket that sorts.
-BLOCK_BYTES, PIECE, BUCKET_BYTES = 8 << 20, 1 << 16, 16 << 20
+BLOCK_BYTES, PIECE, BUCKET_BYTES = 8 << 20, 1 << 16, 8 << 20
 #: Bytes of segments that a block gathers at once.
-GATHER_BYTES = 8 << 20
+GATHER_BYTES = 4 << 20
 #: Windows in a segment at most; different segments (counted by block) from which an anchor is hot.
 MAX_RUN, HOT = 64, 10_000
 #: Bytes of segments whose suffixes are sorted at once: bounds the sort's memory.
@@ -333,6 +333,12 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFra
     return rows.mapInArrow(pack, "block long, n_bytes long, ids binary, lens binary, body binary, keep binary")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One at a time: a batch holds many blocks."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _open(row: dict) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """Body, its bytes as an array, ends of the documents, their ids."""
     body = _unpress(row["body"]) if row["n_bytes"] else b""
@@ -383,7 +389,7 @@ def _bucket_counts(total: int) -> tuple[int, int]:
 def _ask(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 _, body, ends, _ = _open(row)
                 anchors, begins, _, looks = anchor_runs(body, ends)
                 h, n = _held(anchors, begins, ends, looks)
@@ -457,7 +463,7 @@ def _send(n_buckets: int):
         press = zstandard.ZstdCompressor(level=1).compress
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 for cuts, data, offsets, of, _, doc in _segments(row, n_buckets):
                     least = np.full(len(offsets) - 1, NO_ID, np.int64)
                     np.minimum.at(least, of, doc)
@@ -507,7 +513,7 @@ def _spans(row: dict, n_buckets: int, told: dict[int, bytes]) -> np.ndarray:
 def _cut(n_buckets: int, names: list[str], schema: pa.Schema, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 body, _, ends, _ = _open(row)
                 gone = _spans(row, n_buckets, {x["bucket"]: x["least"] for x in row["least"] or []})
                 raw = np.frombuffer(body, np.uint8)
